@@ -41,12 +41,3 @@ def salt_of(column: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
-def group_salts(rows: DataFrame, key: str, salt: str, *aggregates: Column) -> DataFrame:
-    """One row per (key, salt that occurs) with the key's aggregates.
-
-    ``rows`` already has one row per (key, salt). The result joins back to the members on
-    (key, salt), so a key that holds a third of all rows is spread over all its salts, and a key
-    with one row costs one row.
-    """
-    per_key = rows.groupBy(key).agg(*aggregates, F.collect_set(salt).alias("_salts"))
-    return per_key.withColumn(salt, F.explode("_salts")).drop("_salts")
