@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from loamstone.llm.lookalikes import LOOKALIKES
 from loamstone.scale import materialize, salt_of
 
-_JOINERS = "‍︎️"
+_JOINERS = "\u200d\ufe0e\ufe0f"
 #: Characters that show nothing though their category doesn't say so: fillers and grapheme joiner.
-_BLANK = "͏ᅟᅠ឴឵ㅤﾠ"
+_BLANK = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
 
 
 def _is_pictograph(ch: str) -> bool:
