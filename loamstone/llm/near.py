@@ -23,6 +23,7 @@ repeated texts are partners of similarity 1; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +44,7 @@ class NearRules:
     window_seconds: float = 604800.0
     rare: int = 96
     max_words_in_key: int = 4
-    sketch_bits: int = 21
+    sketch_bits: int = 20
     block_rows: int = 20000
     members_per_salt: int = 4000
 
@@ -86,11 +87,22 @@ def _sketch(column_of, bits: int):
     return run
 
 
+def _pack(batches):
+    """Slots and their counts of one partition as one compressed row."""
+    slots, counts = [], []
+    for pdf in batches:
+        slots.append(pdf["slot"].to_numpy(dtype=np.int32))
+        counts.append(np.minimum(pdf["n"].to_numpy(dtype=np.int64), 0xFFFFFFFF).astype(np.uint32))
+    if slots:
+        yield pd.DataFrame({"slots": [zlib.compress(np.concatenate(slots).tobytes(), 1)], "counts": [zlib.compress(np.concatenate(counts).tobytes(), 1)]})
+
+
 def _gather(rows: DataFrame, bits: int) -> np.ndarray:
     """The sketch as an array of 2**bits counts: its size is fixed whatever the data's."""
-    got = rows.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     sketch = np.zeros(1 << bits, dtype=np.uint32)
-    sketch[got["slot"].to_numpy(dtype=np.int64)] = np.minimum(got["n"].to_numpy(dtype=np.int64), 0xFFFFFFFF)
+    packed = rows.groupBy("slot").agg(F.sum("n").alias("n")).mapInPandas(_pack, "slots binary, counts binary")
+    for row in packed.toLocalIterator():
+        sketch[np.frombuffer(zlib.decompress(row["slots"]), dtype=np.int32)] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint32)
     return sketch
 
 
