@@ -28,9 +28,7 @@ from loamstone.scale import materialize
 @dataclass(frozen=True)
 class MixRules:
     seed: int = 20260101
-    bins: int = 4096
-    #: Of a source's tokens that a sample may take at most before a whole further copy is counted.
-    near_whole: float = 0.98
+    bins: int = 1024
 
 
 def plan_mix(targets: list[dict], totals: dict[str, int]) -> list[dict]:
@@ -106,7 +104,8 @@ def mixed(items: DataFrame, targets: DataFrame, rules: MixRules = MixRules()) ->
     ``items``: key, source, tokens, look (a hash of the text); ``targets``: the fixed small table of mixes.
     """
     spark = items.sparkSession
-    rows = materialize(weighted(items.where("tokens > 0").dropDuplicates(["key"])), "weighted")
+    counted = materialize(items.select("key", "source", "tokens", "look"), "token-counts")  # texts are read and counted once
+    rows = materialize(weighted(counted.where("tokens > 0").dropDuplicates(["key"])), "weighted")
     classes = rows.groupBy("source", "same").agg(F.sum("tokens").alias("tokens")).toPandas()  # few classes for each source
     totals = classes.groupby("source")["tokens"].sum().to_dict()
     plan = plan_mix([r.asDict() for r in targets.dropDuplicates(["mix_name", "source"]).collect()], totals)
