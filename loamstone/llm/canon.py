@@ -21,6 +21,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +101,12 @@ def _segment() -> re.Pattern:
     return re.compile(f"[^{context}]?[{context}]+")
 
 
+@lru_cache(maxsize=1)
+def _contextual() -> frozenset[str]:
+    """Quick check: a text without any of these has no segment."""
+    return frozenset(chr(code) for code in range(0x20000) if not 0xD800 <= code <= 0xDFFF and _is_contextual(code))
+
+
 def _canonical(match: re.Match) -> str:
     """The form of one segment: joiners stay only after a pictograph, marks are composed."""
     shown: list[str] = []
@@ -113,7 +120,8 @@ def canonical(text: str | None) -> str | None:
     """The one form of ``text``."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
-    return _segment().sub(_canonical, text.translate(_FORMS))
+    text = text.translate(_FORMS)
+    return text if _contextual().isdisjoint(text) else _segment().sub(_canonical, text)
 
 
 def has_visible(text: str | None) -> bool:
@@ -126,12 +134,6 @@ def canonical_udf(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def look_udf(texts: pd.Series) -> pd.Series:
-    """The form by which visible contents are compared; NULL without a visible character."""
-    return texts.map(lambda t: canonical(t) if has_visible(t) else None, na_action="ignore")
-
-
 def with_canonical(rows: DataFrame, column: str = "content", to: str = "canonical") -> DataFrame:
     """``rows`` with the one form of ``column``."""
     return rows.withColumn(to, canonical_udf(F.col(column)))
@@ -139,10 +141,18 @@ def with_canonical(rows: DataFrame, column: str = "content", to: str = "canonica
 
 def looks(rows: DataFrame, key: str, salts: int = 32) -> DataFrame:
     """key, look (128-bit hash of the form), form (128-bit hash of the content), salt of every visible content."""
-    seen = rows.where(F.col(key).isNotNull()).select(F.col(key), "content", look_udf("content").alias("_look")).where(F.col("_look").isNotNull())
-    return seen.select(
-        key, F.unhex(F.md5("_look")).alias("look"), F.unhex(F.md5("content")).alias("form"), salt_of(F.col(key), salts).alias("salt")
-    )
+
+    def forms(batches):
+        for pdf in batches:
+            out = []
+            for k, text in zip(pdf[key], pdf["content"]):
+                if has_visible(text):
+                    out.append((k, *(xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in (canonical(text), text))))
+            yield pd.DataFrame(out, columns=[key, "look", "form"])
+
+    held = rows.where(F.col(key).isNotNull() & F.col("content").isNotNull()).select(key, "content")
+    kind = held.schema[key].dataType.simpleString()
+    return held.mapInPandas(forms, f"{key} {kind}, look binary, form binary").withColumn("salt", salt_of(F.col(key), salts))
 
 
 def same_look_pairs(rows: DataFrame, key: str, salts: int = 32) -> DataFrame:
