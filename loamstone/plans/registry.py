@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from loamstone.plans import catalogue, oracles
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in catalogue.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
