@@ -8,8 +8,8 @@ a source lie than at the lengths around it; it is found on all rows. Every recor
 
 The model is fitted on a bounded sample (``CutRules.train_docs``, by hash of the key, each cut
 ``cuts`` times); statistics and scores cover all rows. Rows of the sample that look cut already (at
-a limit, unparsable, an open fence) give no negatives; after a first fit, negatives that the model
-finds cut are dropped and it is fitted again.
+a limit, unparsable, an open fence) give no negatives; negatives that a model fitted on the other
+folds finds cut are dropped before the last fit.
 
 Defined results: a NULL or blank text is not cut (score 0); a NULL layout or source is a value of
 its own; repeated keys are scored each; extra columns are ignored; an empty table gives no rows.
@@ -40,6 +40,8 @@ class CutRules:
     step: float = 0.35
     l2: float = 2e-6
     prior: float = 0.03
+    folds: int = 3
+    doubt: float = 0.5
     seed: int = 7
 
 
@@ -234,7 +236,7 @@ def limits_of(docs: DataFrame) -> dict[str, dict[str, dict[int, float]]]:
     return out
 
 
-def fit(index: list[np.ndarray], label: np.ndarray, rules: CutRules, weight: np.ndarray | None = None) -> np.ndarray:
+def fit(index: list[np.ndarray], label: np.ndarray, rules: CutRules, weight: np.ndarray | None = None, rounds: int | None = None) -> np.ndarray:
     """Logistic regression on binary hashed features, by full-batch AdaGrad."""
     size = 1 << rules.bits
     flat = np.concatenate(index) if index else np.zeros(0, dtype=np.int32)
@@ -242,7 +244,7 @@ def fit(index: list[np.ndarray], label: np.ndarray, rules: CutRules, weight: np.
     weight = np.ones(len(index)) if weight is None else weight
     w, square = np.zeros(size), np.full(size, 1e-8)
     total = max(1.0, weight.sum())
-    for _ in range(rules.rounds):
+    for _ in range(rounds or rules.rounds):
         z = np.bincount(row, weights=w[flat], minlength=len(index))
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight
         gradient = np.bincount(flat, weights=error[row], minlength=size) / total + rules.l2 * w
@@ -264,15 +266,16 @@ def train(docs: DataFrame, key: str, limits: dict, rules: CutRules) -> np.ndarra
                 if text is None or len(text.strip()) < 40:
                     continue
                 own = limits.get(source or "", {})
+                fold = zlib.crc32(text.encode("utf-8", "surrogatepass")) % rules.folds
                 gap = limit_gap(len(text), len(text.encode("utf-8", "surrogatepass")), own)
                 names = features(text, layout, gap)
                 if gap == "none" and "json broken" not in names and not any(x.startswith("g fenced.open") for x in names):
-                    rows.append((0, hashed(names, rules.bits)))
+                    rows.append((0, hashed(names, rules.bits), fold))
                 draw = random.Random(f"{rules.seed} {k}")
                 newline = text.endswith("\n")
                 ends = [e for e in cell_ends(text, layout) if e > 40]
                 for e in draw.sample(ends, min(2, len(ends))):
-                    rows.append((0, hashed(features(text[:e], layout, "none"), rules.bits)))
+                    rows.append((0, hashed(features(text[:e], layout, "none"), rules.bits), fold))
                 for cut in range(rules.cuts):
                     at = draw.randrange(min(40, len(text) // 2), max(41, len(text.rstrip()) - 1))
                     told = "none"
@@ -291,10 +294,10 @@ def train(docs: DataFrame, key: str, limits: dict, rules: CutRules) -> np.ndarra
                         if newline and draw.random() < 0.5:
                             piece += "\n"
                     if piece.strip():
-                        rows.append((1, hashed(features(piece, layout, told), rules.bits)))
-            yield pd.DataFrame({"label": [x for x, _ in rows], "index": [x.tobytes() for _, x in rows]})
+                        rows.append((1, hashed(features(piece, layout, told), rules.bits), fold))
+            yield pd.DataFrame({"label": [x for x, _, _ in rows], "index": [x.tobytes() for _, x, _ in rows], "fold": [x for _, _, x in rows]})
 
-    got = sample.select(key, "text", "layout", "source").mapInPandas(examples, "label int, index binary").toPandas()
+    got = sample.select(key, "text", "layout", "source").mapInPandas(examples, "label int, index binary, fold int").toPandas()
     if not len(got):
         return np.zeros(1 << rules.bits)
     got = got.sort_values(["label", "index"], kind="stable")  # one result whatever order the rows came in
@@ -308,10 +311,14 @@ def train(docs: DataFrame, key: str, limits: dict, rules: CutRules) -> np.ndarra
             weight[label == value] *= 0.5 * len(label) / max(1.0, n)
         return weight
 
+    # A text that is cut already is no negative. It is judged by a model that has not seen it: copies
+    # of a text share its fold.
+    fold = got["fold"].to_numpy()
     keep = np.ones(len(label), dtype=bool)
-    w = fit(index, label, rules, balanced(keep))
-    score = np.array([w[x].sum() for x in index])
-    keep[(label == 0) & (score > 1.5)] = False
+    for k in range(rules.folds):
+        w = fit(index, label, rules, balanced(fold != k), rules.rounds // 2)
+        for i in np.flatnonzero((fold == k) & (label == 0)):
+            keep[i] = w[index[i]].sum() <= rules.doubt
     return fit(index, label, rules, balanced(keep))
 
 

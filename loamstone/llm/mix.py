@@ -114,7 +114,7 @@ def mixed(items: DataFrame, targets: DataFrame, rules: MixRules = MixRules()) ->
         factor = 0.0
         if p["rest"] > 0:
             own = classes[classes["source"] == p["source"]]
-            factor = inclusion_factor(1.0 / own["same"].to_numpy(dtype=float), own["tokens"].to_numpy(dtype=float), p["rest"])
+            factor = float(inclusion_factor(1.0 / own["same"].to_numpy(dtype=float), own["tokens"].to_numpy(dtype=float), p["rest"]))
         steps.append((p["mix_name"], p["source"], p["copies"], float(p["rest"]), factor))
     steps_df = spark.createDataFrame(steps, "mix_name string, source string, whole int, rest double, factor double").where("whole > 0 or rest > 0")
     met = rows.join(F.broadcast(steps_df), "source")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 P5_FOUND = r"""
 WITH rows_ AS (
-  SELECT DISTINCT session_id, nullif(turn_id, '') AS turn_id, coalesce(parent_id, '') AS parent_id, timestamp_epoch AS at,
+  SELECT DISTINCT session_id, nullif(turn_id, '') AS turn_id, coalesce(parent_id, '') AS parent_id, timestamp_epoch AS t_at,
          regexp_extract(content, '^\[(user|claude)( [0-9]+/[0-9]+)?\] ', 1) AS role,
          regexp_extract(content, '^\[(user|claude) ([0-9]+)/([0-9]+)\] ', 2) AS part,
          regexp_extract(content, '^\[(user|claude) ([0-9]+)/([0-9]+)\] ', 3) AS parts,
@@ -17,17 +17,17 @@ WITH rows_ AS (
          regexp_matches(body, '[^\s\p{Cc}\p{Cf}\p{Zs}\p{Zl}\p{Zp}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}\x{115F}\x{1160}\x{3164}\x{FFA0}\x{2800}]') AS shows
   FROM rows_
 ), stored AS (
-  SELECT session_id, turn_id, role, message, min(at) AS at, bool_or(shows) AS shows,
+  SELECT session_id, turn_id, role, message, min(t_at) AS t_at, bool_or(shows) AS shows,
          min(n) = max(n) AND count(DISTINCT k) = max(n) AND min(k) = 1 AND max(k) = max(n) AS whole,
          string_agg(DISTINCT lpad(CAST(k AS VARCHAR), 6, '0') || body, chr(30) ORDER BY lpad(CAST(k AS VARCHAR), 6, '0') || body) AS text
-  FROM named GROUP BY ALL
+  FROM named GROUP BY session_id, turn_id, role, message
 ), messages AS (
-  SELECT session_id, turn_id, role, text, min(at) AS at, bool_and(shows AND whole) AS good FROM stored GROUP BY ALL
+  SELECT session_id, turn_id, role, text, min(t_at) AS t_at, bool_and(shows AND whole) AS good FROM stored GROUP BY session_id, turn_id, role, text
 ), turns AS (
   SELECT session_id, turn_id,
          turn_id IS NOT NULL AND count(*) FILTER (role = 'user') = 1 AND count(*) FILTER (role = 'claude') = 1 AND bool_and(good)
-         AND coalesce(min(at) FILTER (role = 'user') < min(at) FILTER (role = 'claude'), false) AS fine
-  FROM messages GROUP BY ALL
+         AND coalesce(min(t_at) FILTER (role = 'user') < min(t_at) FILTER (role = 'claude'), false) AS fine
+  FROM messages GROUP BY session_id, turn_id
 )
 SELECT session_id FROM turns GROUP BY session_id HAVING NOT bool_and(fine)
 """
