@@ -204,7 +204,6 @@ def test_streams(spark, tmp_path):
 
 
 def test_turn_stream_and_guards(spark, tmp_path):
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
     rows = [("s", 1, "user", "T1", 1.0), ("s", 2, "claude", None, 2.0), ("r", 3, "claude", None, 1.0), ("s", 4, "user", None, 3.0)]
     schema = "session_id string, event_id bigint, role string, turn_id string, at double"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
@@ -218,7 +217,6 @@ def test_turn_stream_and_guards(spark, tmp_path):
     q = first.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("SELECT * FROM firsts").count() == 4 - 1  # one guard within T1, one without a turn per role
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_core_never_imports_the_optional_part():
