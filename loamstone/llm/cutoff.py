@@ -56,7 +56,9 @@ def _class(ch: str) -> str:
 _RUNS = re.compile(r"[^\W\d_]+|\d+|\s+")
 _WORD = re.compile(r"\w+")
 _NUMBER = re.compile(r"[-+]?\d+(?:\.\d+)?")
-_B64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}\)?$")
+# Read from the end backwards, as a search for a run's start would try every position before it.
+_B64_END = re.compile(r"\)?={0,2}[A-Za-z0-9+/]{40}")
+_B64_RUN = re.compile(r"\)?[A-Za-z0-9+/=]+")
 _MARK = re.compile(r"^(In|Out) ?\[[^\]\n]*\]:?")
 _ENDS = ".!?…。！？"
 
@@ -118,7 +120,7 @@ def features(text: str, layout: str | None, limit_gap: str) -> list[str]:
         item = "head"
     elif re.match(r"^\w*(Error|Exception)\b", trimmed):
         item = "error"
-    elif _B64.search(trimmed) and " " not in trimmed[-40:]:
+    elif _B64_END.match(trimmed[-60:][::-1]) and " " not in trimmed[-40:]:
         item = "b64"
     elif trimmed[:4] == "File" or trimmed.startswith("Traceback"):
         item = "trace"
@@ -156,8 +158,8 @@ def features(text: str, layout: str | None, limit_gap: str) -> list[str]:
             f"ts {_shape(last) == _shape(before)} {kind} {item}", f"tx {len(last) == len(before)} {decimals[0] == decimals[1]} {len(numbers) == len(others)} {item}",
         ]
     if item == "b64":
-        run = re.search(r"[A-Za-z0-9+/=]+\)?$", body[-200_000:])
-        size = len(run[0].rstrip(")")) if run else 0
+        run = _B64_RUN.match(body[::-1])
+        size = len(run[0].lstrip(")")) if run else 0
         out += [f"b {size % 4} {end} {kind}", f"b4 {size % 4 == 0} {end in '=)'}"]
     if layout == "json":
         try:
