@@ -16,6 +16,7 @@ from loamstone.config import EngineConfig
 from loamstone.functions import rank as R
 from loamstone.functions import text as T
 from loamstone.operators import scan, store
+from loamstone.scale import materialize
 
 RECORD_COLUMNS = ("id", "content", "timestamp_epoch", "owner_id", "session_id", "turn_id", "importance", "access_count", "parent_id", "expires_at", "embedding")
 
@@ -190,9 +191,11 @@ def search(stored: DataFrame, docs: DataFrame, asked: DataFrame, cfg: EngineConf
     ``stored`` and ``docs`` are the views of ``store``; ``asked`` is ``store.searches``.
     """
     nearest, matched = legs(stored, asked, cfg)
-    cands = candidates(fuse(nearest, matched), stored, asked, cfg)
+    # Both legs are scanned once: the candidates (at most 200 a search) feed normal and weak rows alike.
+    cands = materialize(candidates(fuse(nearest, matched), stored, asked, cfg), "candidates")
     normal = cut(main_rows(cands, stored, docs, cfg), cfg).withColumn("weak", F.lit(False))
     if cfg.min_results <= 0:
         return normal.select(*RESULT)
+    normal = materialize(normal, "normal-rows")
     weak = weak_rows(cands, docs, normal, cfg).withColumn("weak", F.lit(True)).withColumn("version_group", F.lit(None).cast("int"))
     return normal.select(*RESULT).unionByName(weak.select(*RESULT))
