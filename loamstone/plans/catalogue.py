@@ -15,6 +15,7 @@ from loamstone.functions import rank as R
 from loamstone.functions import text as T
 from loamstone.operators import ingest, mutate, scan, search, store, views
 from loamstone.operators.render import row_text
+from loamstone.scale import materialize
 from loamstone.sources.tables import table
 
 #: The hashed test vectors are not those of a trained model, so the vector floor is lower than the default.
@@ -207,6 +208,16 @@ def record_neighbours(spark, root):
     return _leg(scan.knn(stored, own))
 
 
+def record_neighbours_all(spark, root):
+    """The 20 nearest of all records with a vector to each of them whose id is divisible by 100, whatever the owner."""
+    # Read once for each block of searches, so first deliveries are kept.
+    stored = materialize(rec(spark, root, "embedding", "timestamp_epoch", "expires_at").where(F.col("embedding").isNotNull()), "vectors")
+    ends = F.lit(None).cast("double")
+    chosen = stored.where(F.conv(F.substring("id", -6, 6), 16, 10).cast("bigint") % 100 == 0)
+    asking = chosen.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(20).alias("k"), ends.alias("since_epoch"), ends.alias("until_epoch"), ends.alias("now_epoch"))
+    return _leg(scan.knn(stored, asking))
+
+
 # ---- time to live, refresh, repair
 
 
@@ -307,7 +318,7 @@ def session_counters(spark, root):
 QUERIES = (
     text_purify, visible_filter, importance_clamp, role_prefix, text_guard, text_tokens, text_query_terms, text_ngrams, text_context_size, safe_session,
     saved_times, chunk_counts, query_vectors, ingest_statuses, ingest_counts, dedup_exact, knn_topk, bm25_topk, knn_owner_postfilter, hybrid_fuse,
-    keyword_relevance, fused_score, search_full, search_counts, render_rows, record_neighbours, ttl_expired, time_window, ttl_refresh, ttl_refresh_guards,
+    keyword_relevance, fused_score, search_full, search_counts, render_rows, record_neighbours, record_neighbours_all, ttl_expired, time_window, ttl_refresh, ttl_refresh_guards,
     repair_counts, list_newest, recall_slice, orphan_chunks, guard_lookup, delete_cascade, delete_remaining, delete_session_counts, previous_reply,
     turn_handoff, session_counters,
 )

@@ -311,6 +311,9 @@ def oracle_sql() -> dict[str, str]:
         "record_neighbours": f"""WITH {REC}, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rec WHERE owner_id = {OWNER} AND embedding IS NOT NULL),
             n AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a, v b WHERE CAST('0x' || right(a.id, 6) AS BIGINT) % 100 = 0)
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS leg_rank, id, round(s, 6) AS score FROM n QUALIFY leg_rank <= 20""",
+        "record_neighbours_all": f"""WITH {REC}, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rec WHERE embedding IS NOT NULL),
+            n AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a, v b WHERE CAST('0x' || right(a.id, 6) AS BIGINT) % 100 = 0)
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS leg_rank, id, round(s, 6) AS score FROM n QUALIFY leg_rank <= 20""",
         "ttl_expired": f"WITH {REC} SELECT id FROM rec WHERE NOT {LIVE}",
         "time_window": f"WITH {REC} SELECT id, round(pow(2.0, -greatest(0.0, ({NOW} - timestamp_epoch) / 86400.0) / {CFG.half_life_days}), 6) AS decay FROM rec WHERE timestamp_epoch BETWEEN {NOW - 86400} AND {NOW}",
         "ttl_refresh": f"""WITH {REC}, {DOC}, {HITS} SELECT r.id, round(CASE WHEN r.id IN (SELECT id FROM keys) THEN {NOW + CFG.ttl_seconds} ELSE r.expires_at END, 3) AS expires_at,
