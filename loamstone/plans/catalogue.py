@@ -14,7 +14,7 @@ from loamstone.functions import chunk as C
 from loamstone.functions import rank as R
 from loamstone.functions import text as T
 from loamstone.operators import ingest, mutate, scan, search, store, views
-from loamstone.operators.render import row_text
+from loamstone.operators.render import NO_HITS, rendered, row_text
 from loamstone.scale import materialize
 from loamstone.sources.tables import table
 
@@ -102,6 +102,11 @@ def saved_times(spark, root):
     return rows.select("id", T.fmt_saved(F.col("timestamp_epoch")).alias("saved"))
 
 
+def saved_times_all(spark, root):
+    """The saved time of every record, also of those whose time is missing or no usual one."""
+    return rec(spark, root, "timestamp_epoch").select("id", T.fmt_saved(F.col("timestamp_epoch")).alias("saved"))
+
+
 def chunk_counts(spark, root):
     bodies = doc(spark, root).select("id", F.regexp_replace("content", r"^\[(user|claude)\] ", "").alias("body"))
     cut = bodies.withColumn("p", C.chunks(F.col("body"), CFG.chunk_threshold, CFG.chunk_overlap))
@@ -199,6 +204,22 @@ def render_rows(spark, root):
     return shaped.select("id", F.md5(row_text()).alias("line"))
 
 
+def render_rows_all(spark, root):
+    """The row of every record and document, of any owner and time."""
+    shared = ("id", "content", "turn_id", "timestamp_epoch")
+    single = rec(spark, root, *shared).select(*shared, F.lit(False).alias("is_doc"), F.lit(0).alias("chunk_count"), F.lit(0.5).alias("score"))
+    whole = doc(spark, root).select(*shared, F.lit(True).alias("is_doc"), "chunk_count", F.lit(0.5).alias("score"))
+    return single.unionByName(whole).select("id", "is_doc", F.md5(row_text()).alias("line"))
+
+
+def render_blocks(spark, root):
+    """The block of every search, within the context limit; a search without results gets the block that says so."""
+    queries = asked(spark, root)
+    made = rendered(search.search(rec(spark, root), doc(spark, root), queries, CFG), CFG)
+    text = F.coalesce("block", F.lit(NO_HITS))
+    return queries.select("query_id").join(made, "query_id", "left").select("query_id", T.context_size(text).cast("bigint").alias("size"), F.md5(text).alias("block"))
+
+
 def record_neighbours(spark, root):
     """The 20 nearest of the owner's records to each of them whose id is divisible by 100."""
     stored = rec(spark, root).where((F.col("owner_id") == CFG.owner) & F.col("embedding").isNotNull())
@@ -317,8 +338,8 @@ def session_counters(spark, root):
 
 QUERIES = (
     text_purify, visible_filter, importance_clamp, role_prefix, text_guard, text_tokens, text_query_terms, text_ngrams, text_context_size, safe_session,
-    saved_times, chunk_counts, query_vectors, ingest_statuses, ingest_counts, dedup_exact, knn_topk, bm25_topk, knn_owner_postfilter, hybrid_fuse,
-    keyword_relevance, fused_score, search_full, search_counts, render_rows, record_neighbours, record_neighbours_all, ttl_expired, time_window, ttl_refresh, ttl_refresh_guards,
+    saved_times, saved_times_all, chunk_counts, query_vectors, ingest_statuses, ingest_counts, dedup_exact, knn_topk, bm25_topk, knn_owner_postfilter, hybrid_fuse,
+    keyword_relevance, fused_score, search_full, search_counts, render_rows, render_rows_all, render_blocks, record_neighbours, record_neighbours_all, ttl_expired, time_window, ttl_refresh, ttl_refresh_guards,
     repair_counts, list_newest, recall_slice, orphan_chunks, guard_lookup, delete_cascade, delete_remaining, delete_session_counts, previous_reply,
     turn_handoff, session_counters,
 )

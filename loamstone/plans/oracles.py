@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 from loamstone.functions.text import CJK, INVISIBLE, SIGNS, SPACES
+from loamstone.operators.render import BETWEEN, CUT_LINE, LEAST_ROWS, NO_HITS, VERSION_LINE, WEAK_HEADING
 from loamstone.plans.catalogue import CFG, NOW
 
 
@@ -195,6 +196,47 @@ weak AS (
   SELECT query_id, rank, false AS weak, id, is_doc, round(s, 6) AS score, round(fs, 6) AS filter_score, version_group FROM normal
   UNION ALL SELECT query_id, n + w, true, id, is_doc, round(s, 6), round(fs, 6), NULL FROM weak)"""
 
+SAVED = """CASE WHEN timestamp_epoch IS NULL OR isnan(timestamp_epoch) OR abs(timestamp_epoch) >= 2.5e11 THEN 'unknown'
+  ELSE strftime(make_timestamp(CAST(floor(timestamp_epoch) * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M') || ' (UTC+0000)' END"""
+
+
+def _line(score: str) -> str:
+    """A row's text, from id, content, turn_id, timestamp_epoch, is_doc and chunk_count."""
+    return f"""'### ' || CASE WHEN is_doc THEN '[doc×' || CAST(coalesce(chunk_count, 0) AS VARCHAR) || '] ' ELSE '' END || '[' || id || ']'
+  || CASE WHEN coalesce(turn_id, '') <> '' THEN ' turn=' || turn_id ELSE '' END || ' score=' || {score} || ' saved=' || {SAVED} || chr(10) || {purify("coalesce(content, '')")}"""
+
+
+def _size(x: str) -> str:
+    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) + length({x}) - length(replace({x}, chr(10), '')))"
+
+
+_GAP = "chr(10) || chr(10)"
+_CUT = f"{_GAP} || {quoted(CUT_LINE)}"
+BLOCKS = f"""shown AS (
+  SELECT query_id, rank, false AS weak, id, is_doc, s, timestamp_epoch FROM normal
+  UNION ALL SELECT query_id, n + w, true, id, is_doc, s, timestamp_epoch FROM weak
+), told AS (
+  SELECT s.*, CASE WHEN is_doc THEN d.content ELSE r.content END AS content, CASE WHEN is_doc THEN d.turn_id ELSE r.turn_id END AS turn_id, d.chunk_count
+  FROM shown s LEFT JOIN doc d ON s.is_doc AND d.id = s.id LEFT JOIN rec r ON NOT s.is_doc AND r.id = s.id
+), lines AS (SELECT query_id, rank, weak, {_line("printf('%.3f', s)")} AS line FROM told
+), lists AS (
+  SELECT query_id, coalesce(list(line ORDER BY rank) FILTER (NOT weak), []) AS main, coalesce(list(line ORDER BY rank) FILTER (weak), []) AS less FROM lines GROUP BY query_id
+), tries AS (SELECT *, unnest(range(greatest(1, len(main) - {LEAST_ROWS} + 1))) AS omitted FROM lists
+), bodies_ AS (
+  SELECT query_id, omitted, CASE WHEN len(main) = 0 THEN {quoted(NO_HITS)} ELSE {quoted(VERSION_LINE)} || {_GAP} || array_to_string(main[1:len(main) - omitted], {quoted(BETWEEN)})
+    || CASE WHEN omitted > 0 THEN {_GAP} || '_(' || omitted || ' lower-ranked match(es) omitted to keep this block within the context limit.)_' ELSE '' END END
+    || CASE WHEN len(less) > 0 THEN {_GAP} || {quoted(WEAK_HEADING)} || {_GAP} || array_to_string(less, {_GAP}) ELSE '' END AS body
+  FROM tries
+), fitting AS (SELECT *, {_size('body')} + 2 <= {CFG.context_max_chars} AS fits, max(omitted) OVER (PARTITION BY query_id) AS most FROM bodies_
+), chosen AS (SELECT * FROM fitting WHERE fits OR omitted = most QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY omitted) = 1
+), chars AS (SELECT query_id, unnest(regexp_extract_all(body, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(body, '(?s).'), 1) AS i FROM chosen WHERE NOT fits
+), room AS (
+  SELECT query_id, ch, i, sum(CASE WHEN ch = chr(10) OR regexp_matches(ch, '[\\x{{10000}}-\\x{{10FFFF}}]') THEN 2 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY i) AS used FROM chars
+), head AS (SELECT query_id, string_agg(ch, '' ORDER BY i) AS kept FROM room WHERE used <= {CFG.context_max_chars} - 2 - {_size('(' + _CUT + ')')} GROUP BY query_id
+), blocks AS (
+  SELECT a.query_id, coalesce(CASE WHEN c.fits THEN c.body ELSE regexp_replace(h.kept, '[{SPACES}]+\\z', '') || {_CUT} END, {quoted(NO_HITS)}) AS block
+  FROM asked a LEFT JOIN chosen c USING (query_id) LEFT JOIN head h USING (query_id))"""
+
 CHUNKS = f"""RECURSIVE bodies AS (SELECT id, regexp_replace(content, '^\\[(user|claude)\\] ', '') AS t FROM doc WHERE content IS NOT NULL),
 cuts AS (
   SELECT id, t, 0 AS k, CAST(-1 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS nxt FROM bodies
@@ -311,6 +353,10 @@ def oracle_sql() -> dict[str, str]:
         "record_neighbours": f"""WITH {REC}, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rec WHERE owner_id = {OWNER} AND embedding IS NOT NULL),
             n AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a, v b WHERE CAST('0x' || right(a.id, 6) AS BIGINT) % 100 = 0)
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS leg_rank, id, round(s, 6) AS score FROM n QUALIFY leg_rank <= 20""",
+        "saved_times_all": f"WITH {REC} SELECT id, {SAVED} AS saved FROM rec",
+        "render_rows_all": f"""WITH {REC}, {DOC}, rows_ AS (SELECT id, content, turn_id, timestamp_epoch, false AS is_doc, 0 AS chunk_count FROM rec
+            UNION ALL SELECT id, content, turn_id, timestamp_epoch, true, chunk_count FROM doc) SELECT id, is_doc, md5({_line("'0.500'")}) AS line FROM rows_""",
+        "render_blocks": f"{full}, {BLOCKS} SELECT query_id, {_size('block')} AS size, md5(block) AS block FROM blocks",
         "record_neighbours_all": f"""WITH {REC}, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rec WHERE embedding IS NOT NULL),
             n AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a, v b WHERE CAST('0x' || right(a.id, 6) AS BIGINT) % 100 = 0)
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS leg_rank, id, round(s, 6) AS score FROM n QUALIFY leg_rank <= 20""",

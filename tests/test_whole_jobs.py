@@ -26,3 +26,24 @@ def test_neighbours_of_every_owner(spark, data, records):
     want = {(q, k + 1, held["id"].iloc[i]) for q, row in zip(chosen["id"], scores) for k, i in enumerate(np.argsort(-row, kind="stable")[:20])}
     got = {(r["query_id"], r["leg_rank"], r["id"]) for r in QUERIES["record_neighbours_all"](spark, data).collect()}
     assert got == want
+
+
+def test_times_of_every_record(spark, data, records):
+    got = {r["id"]: r["saved"] for r in QUERIES["saved_times_all"](spark, data).collect()}
+    assert set(got) == set(records["id"])
+    odd = records[records["timestamp_epoch"].isna() | (records["timestamp_epoch"] >= 2.5e11)]["id"]
+    assert len(odd) and all(got[i] == "unknown" for i in odd)
+    assert sum(x == "unknown" for x in got.values()) == len(odd)
+
+
+def test_rows_of_records_and_documents(spark, data, records):
+    docs = pd.read_parquet(os.path.join(data, "doc_records.parquet"))["id"].dropna()
+    got = [(r["id"], r["is_doc"]) for r in QUERIES["render_rows_all"](spark, data).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, False) for i in records["id"]} | {(i, True) for i in docs}
+
+
+def test_block_of_every_search(spark, data):
+    got = {r["query_id"]: r["size"] for r in QUERIES["render_blocks"](spark, data).collect()}
+    assert set(got) == set(pd.read_parquet(os.path.join(data, "search_queries.parquet"))["query_id"])
+    assert 0 < max(got.values()) <= catalogue.CFG.context_max_chars
