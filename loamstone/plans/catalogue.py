@@ -270,6 +270,25 @@ def ttl_refresh_guards(spark, root):
     return after.guards.select("guard_key", "record_id", F.round("expires_at", 3).alias("expires_at"))
 
 
+def _search_hits(spark, root):
+    """The normal results of every search that refresh takes: the top few of each."""
+    found = search.search(rec(spark, root), doc(spark, root), asked(spark, root), CFG)
+    hits = found.where(~F.col("weak") & (F.col("rank") <= CFG.ttl_refresh_top_k)).select("query_id", "id", "is_doc", "chunk_id")
+    return materialize(hits, "hits")  # refresh reads them several times
+
+
+def ttl_refresh_all(spark, root):
+    after = mutate.refresh(snapshot(spark, root), _search_hits(spark, root), CFG, NOW)
+    kept = [F.round("expires_at", 3).alias("expires_at")]
+    records = after.records.select("id", F.lit(False).alias("is_doc"), *kept, F.col("access_count").cast("bigint").alias("access_count"))
+    return records.unionByName(after.documents.select("id", F.lit(True).alias("is_doc"), *kept, F.lit(None).cast("bigint").alias("access_count")))
+
+
+def ttl_refresh_guards_all(spark, root):
+    after = mutate.refresh(snapshot(spark, root), _search_hits(spark, root), CFG, NOW)
+    return after.guards.select("guard_key", "record_id", F.round("expires_at", 3).alias("expires_at"))
+
+
 def repair_counts(spark, root):
     return mutate.repair(snapshot(spark, root), T.hashed_vector, CFG)[1]
 
@@ -340,6 +359,7 @@ QUERIES = (
     text_purify, visible_filter, importance_clamp, role_prefix, text_guard, text_tokens, text_query_terms, text_ngrams, text_context_size, safe_session,
     saved_times, saved_times_all, chunk_counts, query_vectors, ingest_statuses, ingest_counts, dedup_exact, knn_topk, bm25_topk, knn_owner_postfilter, hybrid_fuse,
     keyword_relevance, fused_score, search_full, search_counts, render_rows, render_rows_all, render_blocks, record_neighbours, record_neighbours_all, ttl_expired, time_window, ttl_refresh, ttl_refresh_guards,
+    ttl_refresh_all, ttl_refresh_guards_all,
     repair_counts, list_newest, recall_slice, orphan_chunks, guard_lookup, delete_cascade, delete_remaining, delete_session_counts, previous_reply,
     turn_handoff, session_counters,
 )

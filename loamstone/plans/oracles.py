@@ -266,6 +266,14 @@ keys AS (
   UNION SELECT unnest(d.chunk_ids) FROM doc d WHERE d.id IN (SELECT id FROM hits WHERE is_doc)
 ), counted AS (SELECT hit AS id, count(*) AS n FROM hits GROUP BY ALL)"""
 
+# A search's rows keep the place of the candidate they came from, which names the piece that hit.
+SEARCH_HITS = f"""hits AS (
+  SELECT n.query_id, n.id, n.is_doc, CASE WHEN n.is_doc THEN f.id END AS chunk_id, f.id AS hit
+  FROM normal n JOIN fused f ON f.query_id = n.query_id AND f.place = n.place WHERE n.rank <= {CFG.ttl_refresh_top_k}
+), keys AS (
+  SELECT hit AS id FROM hits UNION SELECT unnest(d.chunk_ids) FROM doc d WHERE d.id IN (SELECT id FROM hits WHERE is_doc)
+), counted AS (SELECT hit AS id, count(*) AS n FROM hits GROUP BY ALL)"""
+
 JUDGED = f"""calls0 AS (
   SELECT arrival, {strip("coalesce(content, '')")} AS c, CASE WHEN importance IS NULL THEN 1.0 ELSE try_cast({strip('importance')} AS DOUBLE) END AS imp, coalesce(owner_id, '') AS owner,
          CASE WHEN role IN ('user', 'claude') THEN role END AS role, coalesce(turn_id, '') AS turn FROM incoming
@@ -369,6 +377,14 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT {guard('content', 'turn_id', 'false')}, id FROM rec WHERE parent_id = '' AND id IN (SELECT id FROM hits WHERE NOT is_doc))
             SELECT guard_key, record_id, round(expires_at, 3) AS expires_at FROM guards WHERE guard_key NOT IN (SELECT guard_key FROM renewed)
             UNION ALL SELECT guard_key, min(id), {NOW + CFG.ttl_seconds} FROM renewed GROUP BY guard_key""",
+        "ttl_refresh_all": f"""{full}, {SEARCH_HITS} SELECT r.id, false AS is_doc, round(CASE WHEN r.id IN (SELECT id FROM keys) THEN {NOW + CFG.ttl_seconds} ELSE r.expires_at END, 3) AS expires_at,
+            coalesce(r.access_count, 0) + coalesce(c.n, 0) AS access_count FROM rec r LEFT JOIN counted c ON c.id = r.id
+            UNION ALL SELECT id, true, round(CASE WHEN id IN (SELECT id FROM hits WHERE is_doc) THEN {NOW + CFG.ttl_seconds} ELSE expires_at END, 3), NULL FROM doc""",
+        "ttl_refresh_guards_all": f"""{full}, {SEARCH_HITS}, renewed AS (
+            SELECT {guard('content', 'turn_id', 'true')} AS guard_key, id FROM doc WHERE id IN (SELECT id FROM hits WHERE is_doc)
+            UNION ALL SELECT {guard('content', 'turn_id', 'false')}, id FROM rec WHERE parent_id = '' AND id IN (SELECT id FROM hits WHERE NOT is_doc))
+            SELECT guard_key, record_id, round(expires_at, 3) AS expires_at FROM guards WHERE guard_key NOT IN (SELECT guard_key FROM renewed)
+            UNION ALL SELECT guard_key, min(id), {NOW + CFG.ttl_seconds} FROM renewed GROUP BY guard_key""",
         "repair_counts": f"""WITH {REC}, n AS (SELECT count(*) AS n FROM rec WHERE owner_id = {OWNER} AND embedding IS NULL AND content IS NOT NULL)
             SELECT least(n, {CFG.repair_batch}) AS reembedded, greatest(n - {CFG.repair_batch}, 0) AS remaining FROM n""",
         "list_newest": f"""WITH {REC}, {DOC}, both_ AS (

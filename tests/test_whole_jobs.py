@@ -47,3 +47,12 @@ def test_block_of_every_search(spark, data):
     got = {r["query_id"]: r["size"] for r in QUERIES["render_blocks"](spark, data).collect()}
     assert set(got) == set(pd.read_parquet(os.path.join(data, "search_queries.parquet"))["query_id"])
     assert 0 < max(got.values()) <= catalogue.CFG.context_max_chars
+
+
+def test_refresh_of_the_results_of_every_search(spark, data, records):
+    found = [r for r in QUERIES["search_full"](spark, data).collect() if not r["weak"] and r["rank"] <= catalogue.CFG.ttl_refresh_top_k]
+    got = {(r["id"], r["is_doc"]): r for r in QUERIES["ttl_refresh_all"](spark, data).collect()}
+    until = catalogue.NOW + catalogue.CFG.ttl_seconds
+    assert found and all(got[r["id"], r["is_doc"]]["expires_at"] == until for r in found)
+    before = int(records["access_count"].fillna(0).sum())
+    assert sum(r["access_count"] for (_, is_doc), r in got.items() if not is_doc) - before == len(found)
