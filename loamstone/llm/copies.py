@@ -3,7 +3,8 @@
 A content's canonical form is its letters and digits in order, after composition and case folding.
 A content that consists of named fields also has a field form: its sorted (name, value) pairs, each
 canonicalized alike. Forms are hashed to 128 bits; equal hashes are aggregated with map-side
-combining, and a collision check compares a second, independent hash and the form's length.
+combining. Canonical forms are grouped by a second, independent hash too, as a collision check;
+field forms have their 128 bits alone.
 
 Defined results: a NULL content, or one without a letter or digit, has no copies; rows of one id
 count once; an owner is compared without case and surrounding spaces, and rows without one are left
