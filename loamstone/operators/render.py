@@ -11,6 +11,9 @@ from loamstone.config import EngineConfig
 from loamstone.functions import text as T
 
 # The parts of a block.
+HEADER = "# Recalled Memory Context"
+SOURCE = "Source: working memory of seven days"
+NOTICE = "> ⚠️ notice: "
 VERSION_LINE = "_If several versions of the same content appear, the one with the newest `saved` time is the current one._"
 NO_HITS = "_No memories found._"
 WEAK_HEADING = "#### Possibly related (weak matches — may be unrelated)"
@@ -29,41 +32,59 @@ def sizes(text: str) -> np.ndarray:
     return 1 + (codes > 0xFFFF) + (codes == 10)
 
 
+@F.pandas_udf("string")
+def _three_digits(score: pd.Series) -> pd.Series:
+    """Rounded from the number's exact value; the JVM's formatter rounds its shortest decimal form."""
+    return score.map("{:.3f}".format, na_action="ignore")
+
+
 def row_text() -> Column:
     """A result row: kind, id, turn, score, time and text."""
     tag = F.when(F.col("is_doc"), F.concat(F.lit("[doc×"), F.coalesce("chunk_count", F.lit(0)).cast("string"), F.lit("] "))).otherwise(F.lit(""))
     turn = F.when(F.coalesce("turn_id", F.lit("")) != "", F.concat(F.lit(" turn="), F.col("turn_id"))).otherwise(F.lit(""))
-    score = F.format_string("%.3f", F.col("score"))
+    score = _three_digits(F.col("score"))
     head = F.concat(F.lit("### "), tag, F.lit("["), F.col("id"), F.lit("]"), turn, F.lit(" score="), score, F.lit(" saved="), T.fmt_saved(F.col("timestamp_epoch")))
     return F.concat(head, F.lit("\n"), T.purify(F.coalesce("content", F.lit(""))))
 
 
+def _size(text: str) -> int:
+    return int(sizes(text).sum())
+
+
 def block(rows: list[str], weak: list[str], limit: int | None = None, head: str = "", tail: str = "") -> str:
-    """One search's block; with a limit, low normal rows go first, then the text is cut."""
-
-    def body(shown: list[str], omitted: int) -> str:
-        parts = [NO_HITS]
-        if shown:
-            joined = BETWEEN.join(shown)
-            parts = [VERSION_LINE, joined + (f"\n\n{omitted_line(omitted)}" if omitted else "")]
-        if weak:
-            parts += [WEAK_HEADING, "\n\n".join(weak)]
-        return head + "\n\n".join(parts)
-
-    size = lambda text: int(sizes(text).sum()) + 2
-    text = body(rows, 0)
-    if not limit or size(text + tail) <= limit:
+    """One search's block of at most ``limit`` (its size plus two), between ``head`` and ``tail``.
+
+    With the running size of the rows the size of every block that shows the first m of them is
+    known at once; the greatest m that fits is shown, at least ``LEAST_ROWS``. If none fits, the
+    text is cut where the running size of its characters reaches what is left for it.
+    """
+    n = len(rows)
+    below = "\n\n".join(["", WEAK_HEADING, "\n\n".join(weak)]) if weak else ""
+    least = min(n, LEAST_ROWS)
+    shown = np.arange(least, n + 1)
+    running = np.concatenate(([0], np.cumsum([_size(BETWEEN + row) for row in rows], dtype=np.int64)))
+    opening = head + (VERSION_LINE + "\n\n" if n else NO_HITS)
+    told = ["" if m == n else "\n\n" + omitted_line(n - m) for m in shown.tolist()]
+    first = _size(BETWEEN) if n else 0  # the first row has no line before it
+    total = running[shown] - first + np.array([_size(line) for line in told]) + _size(opening + below + tail) + 2
+    fitting = np.flatnonzero(total <= limit) if limit else np.array([n - least])
+    k = int(fitting[-1]) if len(fitting) else 0
+    text = opening + BETWEEN.join(rows[: shown[k]]) + told[k] + below
+    if len(fitting):
         return text + tail
-    for omitted in range(1, len(rows) - LEAST_ROWS + 1):
-        text = body(rows[: len(rows) - omitted], omitted)
-        if size(text + tail) <= limit:
-            return text + tail
     end = f"\n\n{CUT_LINE}{tail}"
-    room = limit - size(end)
-    total = np.cumsum(sizes(text))
-    fitting = np.flatnonzero(total <= room)
-    kept = text[: max(int(fitting[-1]) + 1 if len(fitting) else 0, len(head))]
-    return kept.rstrip() + end
+    kept = int(np.searchsorted(np.cumsum(sizes(text)), limit - _size(end) - 2, side="right"))
+    return text[: max(kept, len(head))].rstrip() + end
+
+
+def block_head(query: Column) -> Column:
+    """The heading of a block that a search's text opens, its line ends as spaces."""
+    return F.concat(F.lit(f"{HEADER}\n{SOURCE}\nSearch query: "), F.regexp_replace(query, r"\r\n|\n|\r", " "), F.lit("\n\n"))
+
+
+def block_of_line(line: str, notices: tuple[str, ...] = ()) -> str:
+    """A block without rows: notices and one line, the line of no results where nothing else is told."""
+    return "\n\n".join([f"{HEADER}\n{SOURCE}", *(NOTICE + text for text in notices), line]) + "\n"
 
 
 def rendered(results: DataFrame, cfg: EngineConfig) -> DataFrame:
