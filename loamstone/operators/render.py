@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loamstone.config import EngineConfig
 from loamstone.functions import text as T
@@ -32,7 +33,7 @@ def sizes(text: str) -> np.ndarray:
     return 1 + (codes > 0xFFFF) + (codes == 10)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _three_digits(score: pd.Series) -> pd.Series:
     """Rounded from the number's exact value; the JVM's formatter rounds its shortest decimal form."""
     return score.map("{:.3f}".format, na_action="ignore")
