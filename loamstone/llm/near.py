@@ -4,16 +4,21 @@ Word sets are compared exactly (shared words / all words >= threshold). Records
 one class. The classes are dealt into shards such that any two similar classes meet in at least one
 shard, and each shard is searched by a signature tree.
 
-* Shards: words are ordered by a bounded frequency sketch of all records, rarest first. Two similar
-  sets share their first common word within each set's prefix, their second within the prefix plus
-  one, and so on. A combination of first common words is a shard key once it is rare by the sketch;
-  a frequent one is extended by a further word (up to four). No partner is lost to a frequency.
+* Shards: all words are counted, and those of at least a floor share are known to every task (their
+  number is bounded by the floor, not by the data). Words are ordered by share, rarest first; words
+  below the floor come before them. Two similar sets share their first common word within each set's
+  prefix, their second within the prefix plus one, and so on. A combination of first common words is
+  a shard key once the product of its shares is rare; a frequent one is extended by a further word.
+  Shares don't change with the size of a collection, so neither does the number of keys. The words
+  of a key are limited by the set's size so that it has at most about ``max_keys``; sets whose
+  possible partners have another limit take the keys of both. No partner is lost to a frequency.
+* Shards are counted exactly. One of more than ``block_rows`` rows is dealt into cells of a window of
+  time and a class of sizes: partners lie in the same or in neighbouring ones. Only a cell that is
+  still larger becomes pairs of blocks, so no task holds an unbounded group.
 * Trees: within a shard, sorted classes are the leaves of a tree whose nodes hold the OR of their
   256-bit word bitmaps and their ranges of size and time. A dual traversal from (root, root) drops
   node pairs whose greatest possible overlap is below the least that the sizes need. All trees of a
   batch are traversed level by level together.
-* A shard beyond ``block_rows`` by the sketch is cut into blocks, and each pair of blocks is a
-  shard of its own, so no task holds an unbounded group.
 * Surviving pairs of classes are checked on their whole word sets, then expanded to members within
   the time window, bucketed by time and salted by member.
 
@@ -23,8 +28,9 @@ repeated texts are partners of similarity 1; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,8 +49,9 @@ class NearRules:
     min_chars: int = 100
     window_seconds: float = 604800.0
     rare: int = 96
+    rare_share: float = 4e-4
     max_words_in_key: int = 4
-    sketch_bits: int = 20
+    max_keys: int = 512
     block_rows: int = 20000
     members_per_salt: int = 4000
 
@@ -70,40 +77,36 @@ def eligible(records: DataFrame, rules: NearRules) -> DataFrame:
     )
 
 
-def _sketch(column_of, bits: int):
-    """Partition-local counts of hashed items; at most 2**bits rows leave a partition."""
-    mask = np.uint64((1 << bits) - 1)
+WORDS_OF_FLOOR = 64  # sets longer than this on average raise the floor, so that the words above it stay bounded
 
-    def run(batches):
-        counts = np.zeros(1 << bits, dtype=np.int64)
-        for pdf in batches:
-            items = column_of(pdf)
-            if len(items):
-                counts += np.bincount((items & mask).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(counts)
-        for k in range(0, len(at), 50_000):
-            yield pd.DataFrame({"slot": at[k : k + 50_000].astype(np.int32), "n": counts[at[k : k + 50_000]]})
-
-    return run
-
-
-def _pack(batches):
-    """Slots and their counts of one partition as one compressed row."""
-    slots, counts = [], []
-    for pdf in batches:
-        slots.append(pdf["slot"].to_numpy(dtype=np.int32))
-        counts.append(np.minimum(pdf["n"].to_numpy(dtype=np.int64), 0xFFFFFFFF).astype(np.uint32))
-    if slots:
-        yield pd.DataFrame({"slots": [zlib.compress(np.concatenate(slots).tobytes(), 1)], "counts": [zlib.compress(np.concatenate(counts).tobytes(), 1)]})
 
-
-def _gather(rows: DataFrame, bits: int) -> np.ndarray:
-    """The sketch as an array of 2**bits counts: its size is fixed whatever the data's."""
-    sketch = np.zeros(1 << bits, dtype=np.uint32)
-    packed = rows.groupBy("slot").agg(F.sum("n").alias("n")).mapInPandas(_pack, "slots binary, counts binary")
-    for row in packed.toLocalIterator():
-        sketch[np.frombuffer(zlib.decompress(row["slots"]), dtype=np.int32)] = np.frombuffer(zlib.decompress(row["counts"]), dtype=np.uint32)
-    return sketch
+@dataclass(frozen=True)
+class Shares:
+    """Shares of the frequent words among all classes; ``floor`` stands for every other word."""
+
+    names: np.ndarray
+    shares: np.ndarray
+    rare: float
+    floor: float
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.names):
+            return np.full(len(words), self.floor)
+        at = np.minimum(np.searchsorted(self.names, words), len(self.names) - 1)
+        return np.where(self.names[at] == words, self.shares[at], self.floor)
+
+
+def word_shares(classes: DataFrame, rules: NearRules) -> Shares:
+    """The words above the floor, from exact counts: at most WORDS_OF_FLOOR / rare_share of them, whatever the data's size."""
+    held = classes.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("mean")).first()
+    total = max(1, held["n"])
+    rare = max(rules.rare / total, rules.rare_share)
+    floor = rare * max(1.0, held["mean"] / WORDS_OF_FLOOR)
+    counts = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    got = counts.where(F.col("n") > floor * total).orderBy("word").toPandas()
+    names = got["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(names)
+    return Shares(names[order], got["n"].to_numpy(dtype=float)[order] / total, rare, floor)
 
 
 def _mix(a: int, b: int) -> int:
@@ -112,24 +115,47 @@ def _mix(a: int, b: int) -> int:
     return x ^ (x >> 29)
 
 
-def shard_keys(words: np.ndarray, counts: np.ndarray, total: float, rules: NearRules) -> list[int]:
-    """The shard keys of one word set; ``counts`` are the words' sketched frequencies."""
+def _prefix(n: int, threshold: float) -> int:
+    return n - math.ceil(threshold * n - 1e-9) + 1
+
+
+def _depth(n: int, rules: NearRules) -> int:
+    """The most words in a key of a set of n words: combinations stay below ``max_keys``, and partners have as many in common."""
+    prefix = _prefix(n, rules.threshold)
+    depth = 1
+    while depth < rules.max_words_in_key and math.comb(prefix + depth, depth + 1) <= rules.max_keys and depth + 1 <= math.ceil(rules.threshold * n - 1e-9):
+        depth += 1
+    return depth
+
+
+@lru_cache(maxsize=100_000)
+def depths_of(n: int, rules: NearRules) -> tuple[int, ...]:
+    """The limits of all sizes that a partner of a set of n words can have."""
+    least, most = max(1, math.ceil(rules.threshold * n - 1e-9)), math.floor(n / rules.threshold + 1e-9)
+    if n < 100:
+        return tuple(sorted({_depth(m, rules) for m in range(least, most + 1)}))
+    return tuple(range(_depth(most, rules), _depth(least, rules) + 1))  # of sizes that large, the larger has the lower limit
+
+
+def shard_keys(words: np.ndarray, share: np.ndarray, rare: float, rules: NearRules) -> list[int]:
+    """The shard keys of one word set; ``share`` holds the words' shares (``Shares.of``)."""
     n = len(words)
-    prefix = n - int(np.ceil(rules.threshold * n - 1e-9)) + 1
-    reach = min(n, prefix + rules.max_words_in_key - 1)
-    order = np.lexsort((words, counts))[:reach]
-    names = words[order].tolist()
-    share = (counts[order] / total).tolist()
+    limit = _prefix(n, rules.threshold)
+    depths = depths_of(n, rules)
+    order = np.lexsort((words, share))[: min(n, limit + depths[-1] - 1)]
+    names, shares = words[order].tolist(), share[order].tolist()
     keys: list[int] = []
-    limit, most, rare = prefix, rules.max_words_in_key, rules.rare / total
 
     def extend(key: int, p: float, at: int, depth: int) -> None:
         for i in range(at, min(limit + depth, n)):
             k = _mix(key, names[i])
-            q = p * share[i]
-            if q <= rare or depth + 1 == most:
+            q = p * shares[i]
+            if q <= rare:
+                keys.append(k)
+                continue
+            if depth + 1 in depths:
                 keys.append(k)
-            else:
+            if depth + 1 < depths[-1]:
                 extend(k, q, i + 1, depth + 1)
 
     extend(0x51ED270B, 1.0, 0, 0)
@@ -230,79 +256,90 @@ def _unsigned(words) -> np.ndarray:
     return np.asarray(words, dtype=np.int64).view(np.uint64)
 
 
-def class_table(rows: DataFrame) -> DataFrame:
-    """One row per word set: cls, words, low and high time, members."""
+def class_table(rows: DataFrame, rules: NearRules) -> DataFrame:
+    """One row per word set: cls, words, low and high time, the windows of time it occurs in, members."""
     return rows.groupBy("cls").agg(
-        F.first("words").alias("words"), F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("members")
-    )
+        F.first("words").alias("words"), F.min("at").alias("low"), F.max("at").alias("high"),
+        F.collect_set(F.floor(F.col("at") / rules.window_seconds)).alias("windows"), F.count("*").alias("members"),
+    )
 
 
-def candidate_pairs(classes: DataFrame, rules: NearRules) -> DataFrame:
-    """Pairs of classes (a, b) that survive the signature trees, each once, a < b."""
-    spark = classes.sparkSession
-    bits = rules.sketch_bits
-    slots = "slot int, n bigint"
+SHARD = "shard bigint, cls binary, map binary, size int, low double, high double"
 
-    def flat(pdf):
-        return _unsigned(np.concatenate(pdf["words"].to_list())) if len(pdf) else np.zeros(0, dtype=np.uint64)
 
-    words = _gather(classes.select("words").mapInPandas(_sketch(flat, bits), slots), bits)
-    total = float(max(1, classes.count()))
-    shared_words = spark.sparkContext.broadcast(words)
-    mask = np.uint64((1 << bits) - 1)
+def _above(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The values of ``key`` on more than ``most`` rows, with their number of rows."""
+    return rows.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most)
 
-    def keys_of(column) -> list[list[int]]:
-        frequency = shared_words.value
-        out = []
-        for row in column:
-            w = _unsigned(row)
-            out.append(shard_keys(w, frequency[(w & mask).astype(np.int64)], total, rules))
-        return out
 
-    def key_items(pdf):
-        return np.array([k for row in keys_of(pdf["words"]) for k in row], dtype=np.uint64)
+def _in_cells(shards: DataFrame, rules: NearRules) -> DataFrame:
+    """Rows of large shards, once for each cell of time and size that a partner may be in, too."""
+    width = math.log(1 / rules.threshold) + 1e-9  # a little wider, so that partners are never two classes apart
+    size_class = F.floor(F.log(F.col("size").cast("double")) / width)
+    spread = shards.withColumn("_w", F.explode(F.array_distinct(F.concat("windows", F.transform("windows", lambda w: w + 1)))))
+    spread = spread.withColumn("_s", F.explode(F.array(size_class, size_class + 1)))
+    return spread.withColumn("shard", F.xxhash64("shard", "_w", "_s")).drop("_w", "_s")
+
+
+def _in_block_pairs(cells: DataFrame, large: DataFrame, rules: NearRules) -> DataFrame:
+    """Rows of cells that are still large, once for each pair of blocks that holds their own."""
+    blocks = F.ceil(F.col("_rows") / rules.block_rows)
+    spread = cells.join(large, "shard").withColumn("_mine", F.pmod(F.xxhash64("cls"), blocks))
+    spread = spread.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    return spread.withColumn("shard", F.xxhash64("shard", F.least("_mine", "_other"), F.greatest("_mine", "_other"))).drop("_rows", "_mine", "_other")
+
 
-    sizes = _gather(classes.select("words").mapInPandas(_sketch(key_items, bits), slots), bits)
-    shared_sizes = spark.sparkContext.broadcast(sizes)
+def split_shards(shards: DataFrame, keys: DataFrame, classes: DataFrame, rules: NearRules) -> DataFrame:
+    """``shards`` with those of more than ``block_rows`` rows divided; ``keys`` holds the shard of every row."""
+    large = materialize(_above(keys, "shard", rules.block_rows), "large-shards")
+    if large.isEmpty():
+        return shards
+    held = shards.join(large.select("shard"), "shard", "left_semi").join(classes.select("cls", "windows"), "cls")
+    cells = materialize(_in_cells(held, rules).select(*shards.columns), "cells")
+    still = materialize(_above(cells, "shard", rules.block_rows), "large-cells")
+    rest = shards.join(large.select("shard"), "shard", "left_anti")
+    fit = cells.join(still.select("shard"), "shard", "left_anti")
+    return rest.unionByName(fit).unionByName(_in_block_pairs(cells, still, rules))
+
+
+def candidate_pairs(classes: DataFrame, rules: NearRules) -> DataFrame:
+    """Pairs of classes (a, b) that survive the signature trees, each once, a < b."""
+    shared = classes.sparkSession.sparkContext.broadcast(word_shares(classes, rules))
+
+    def keys_of(column) -> list[list[int]]:
+        if not len(column):
+            return []
+        known = shared.value
+        sets = [_unsigned(row) for row in column]
+        shares = np.split(known.of(np.concatenate(sets)), np.cumsum([len(w) for w in sets])[:-1])
+        return [shard_keys(w, p, known.rare, rules) for w, p in zip(sets, shares)]
+
+    def only_keys(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"shard": np.array([k for ks in keys_of(pdf["words"]) for k in ks], dtype=np.uint64).view(np.int64)})
 
     def deal(batches):
-        """(shard, cls, map, size, low, high) for every key that more than one class may hold."""
-        expected = shared_sizes.value
+        """A row for every key of a class."""
         for pdf in batches:
             keys = keys_of(pdf["words"])
             row = np.repeat(np.arange(len(pdf)), [len(k) for k in keys])
-            key = np.array([k for ks in keys for k in ks], dtype=np.uint64)
-            many = expected[(key & mask).astype(np.int64)].astype(np.int64)
-            at = np.flatnonzero(many > 1)
-            row, key, many = row[at], key[at], many[at]
-            maps = [bitmap(_unsigned(w)).tobytes() for w in pdf["words"]]
+            maps = np.empty(len(pdf), dtype=object)
+            maps[:] = [bitmap(_unsigned(w)).tobytes() for w in pdf["words"]]
             size = pdf["words"].map(len).to_numpy()
-            # A shard expected to hold too many rows becomes the pairs of its blocks.
-            blocks = (many + rules.block_rows - 1) // rules.block_rows
-            hot = np.flatnonzero(blocks > 1)
-            extra_row, extra_key, extra_side = [], [], []
-            for h in hot.tolist():
-                b = int(blocks[h])
-                mine = int.from_bytes(pdf["cls"].iloc[row[h]][:4], "big") % b
-                for other in range(b):
-                    extra_row.append(row[h])
-                    extra_key.append(_mix(_mix(int(key[h]), min(mine, other)), max(mine, other) + 1))
-                    extra_side.append(mine)
-            cold = blocks <= 1
-            row = np.concatenate((row[cold], np.array(extra_row, dtype=row.dtype)))
-            key = np.concatenate((key[cold], np.array(extra_key, dtype=np.uint64)))
             yield pd.DataFrame(
                 {
-                    "shard": key.view(np.int64),
+                    "shard": np.array([k for ks in keys for k in ks], dtype=np.uint64).view(np.int64),
                     "cls": pdf["cls"].to_numpy()[row],
-                    "map": np.array(maps, dtype=object)[row] if len(maps) else [],
+                    "map": maps[row],
                     "size": size[row].astype(np.int32),
                     "low": pdf["low"].to_numpy()[row],
                     "high": pdf["high"].to_numpy()[row],
                 }
             )
 
-    shards = classes.select("cls", "words", "low", "high").mapInPandas(deal, "shard bigint, cls binary, map binary, size int, low double, high double")
+    shards = classes.select("cls", "words", "low", "high").mapInPandas(deal, SHARD)
+    keys = classes.select("words").mapInPandas(only_keys, "shard bigint")
+    shards = split_shards(shards, keys, classes, rules)
 
     def search(batches):
         held: list[pd.DataFrame] = []
@@ -353,7 +390,7 @@ def near_stages(records: DataFrame, rules: NearRules):
     """(members, classes, pairs of similar classes), each written once to the shared folder."""
     rows = eligible(records, rules).dropDuplicates(["id"])
     rows = materialize(rows, "word-sets")
-    classes = materialize(class_table(rows), "classes")
+    classes = materialize(class_table(rows, rules), "classes")
     pairs = materialize(similar_classes(classes, rules), "similar-classes")
     return rows.select("cls", "id", "at"), classes, pairs
 

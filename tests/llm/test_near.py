@@ -41,7 +41,7 @@ def made(seed, n, vocabulary=60):
     return rows
 
 
-@pytest.mark.parametrize("rules", [NearRules(), NearRules(rare=2, sketch_bits=10), NearRules(rare=10**9), NearRules(block_rows=16, members_per_salt=3, rare=8)])
+@pytest.mark.parametrize("rules", [NearRules(), NearRules(rare=2, rare_share=1e-9), NearRules(rare=10**9), NearRules(block_rows=16, members_per_salt=3, rare=8), NearRules(block_rows=40, rare=8, max_keys=40)])
 def test_pairs_equal_brute_force(spark, rules):
     rows = made(1, 220)
     rows += [("c1", rows[0][1], None, 5.0, None), ("c2", rows[0][1], None, 6.0, None), ("c2", rows[0][1], None, 6.0, None)]
@@ -52,6 +52,31 @@ def test_pairs_equal_brute_force(spark, rules):
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 50
 
 
+def test_keys_are_bounded_and_do_not_grow_with_the_collection():
+    """Shares of a vocabulary stay as they are when all counts grow, and so do a set's keys."""
+    draw = random.Random(3)
+    rules = NearRules()
+    for n, most in ((30, 512), (48, 1024), (60, 1024), (120, 512), (400, 81)):
+        words = np.array(sorted(draw.sample(range(2**62), n)), dtype=np.uint64)
+        for share in (1e-6, 1e-3, 1e-2, 0.3):
+            shares = np.full(n, share)
+            small, large = (len(near.shard_keys(words, shares, max(rules.rare / total, rules.rare_share), rules)) for total in (1e6, 1e8))
+            assert small == large <= most
+
+
+def test_partners_share_a_key_whatever_their_sizes():
+    draw = random.Random(4)
+    for max_keys in (20, 200, 512):
+        rules = NearRules(max_keys=max_keys)
+        for n in (5, 9, 21, 39, 40, 50, 64, 65, 90, 155, 170):
+            words = draw.sample(range(2**62), n)
+            share = {w: draw.choice((1e-5, 0.01, 0.2, 0.5)) for w in words}
+            lost = draw.sample(words, n // 5)
+            both = [np.array(sorted(x), dtype=np.uint64) for x in (words, set(words) - set(lost))]
+            keys = [set(near.shard_keys(w, np.array([share[int(x)] for x in w]), rules.rare_share, rules)) for w in both]
+            assert keys[0] & keys[1]
+
+
 def test_groups_are_the_components(spark):
     rules = NearRules()
     rows = made(2, 150)
