@@ -1,9 +1,12 @@
 """The two candidate legs: exact vector top-k and two-field BM25 top-k for batches of searches.
 
-Records are scanned where they lie. Each task scores its records against a bounded block of searches
-with matrix products, keeps its own top k of each search, and only those leave the task: at most
-tasks x k rows for each search are shuffled, however many records match. No pair of record and
-search is ever a row.
+Records are scanned where they lie. Each task scores its records against a bounded block of searches,
+keeps its own top k of each search, and only those leave the task. They are ranked in two levels, so
+that a task of the first sees a part of a search's rows and the second a fixed number of them. No
+pair of record and search is ever a row.
+
+Rows of one id are deliveries of one record, with equal values: scores are taken on the rows as they
+lie, and only the few rows that leave a task are told apart by id.
 
 A search sees a record if it is live at the search's time and within the search's closed time range.
 Scores are rounded to 9 digits and ties go to the smaller id, so results do not depend on the order
@@ -16,14 +19,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.config import EngineConfig
+from loamstone.scale import materialize, salt_of
 
 BLOCK = 2048
 ROWS = 1024
+SALTS = 64
 
 
 def blocks_of(searches: DataFrame, columns: list[str], size: int = BLOCK) -> Iterator[list[dict]]:
@@ -39,14 +46,18 @@ def blocks_of(searches: DataFrame, columns: list[str], size: int = BLOCK) -> Ite
 
 
 class _Best:
-    """The best k rows of each search seen so far."""
+    """The best k rows of each search seen so far, each id once."""
 
     def __init__(self, k: np.ndarray):
         self.k, self.least = k, np.full(len(k), -np.inf)
         self.search, self.score, self.name = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)
 
     def add(self, scores: np.ndarray, names: np.ndarray) -> None:
-        row, search = np.nonzero(scores >= np.maximum(self.least, -1e300)[None, :])
+        rows, most = len(scores), int(self.k.max(initial=1)) + int(pd.Series(names).duplicated().sum())
+        least = np.maximum(self.least, -1e300)
+        if rows > most:  # a row below a search's k-th best of these has no place
+            least = np.maximum(least, np.partition(scores, rows - most, axis=0)[rows - most])
+        row, search = np.nonzero(scores >= least[None, :])
         if not len(row):
             return
         search = np.concatenate((self.search, search))
@@ -54,6 +65,9 @@ class _Best:
         name = np.concatenate((self.name, names[row]))
         order = np.lexsort((name.astype(str), -score, search))
         search, score, name = search[order], score[order], name[order]
+        new = np.ones(len(search), dtype=bool)
+        new[1:] = (search[1:] != search[:-1]) | (name[1:] != name[:-1])
+        search, score, name = search[new], score[new], name[new]
         first = np.searchsorted(search, np.arange(len(self.k)))
         place = np.arange(len(search)) - first[search]
         keep = place < self.k[search]
@@ -91,9 +105,15 @@ def _search_block(records: DataFrame, block: list[dict], scorer: Callable[[pd.Da
 
 
 def _ranked(parts: list[DataFrame]) -> DataFrame:
+    """The k best of the rows that left the tasks: of a salt's rows first, then of what those leave."""
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    out = out.withColumn("_salt", salt_of(F.col("id"), SALTS))
+    near = W.partitionBy("query_id", "_salt").orderBy(F.desc("score"), "id")
+    # Equal rows are one record found in several tasks: they share a dense rank, and the first stays.
+    out = out.withColumn("_place", F.dense_rank().over(near)).withColumn("_again", F.lag("id").over(near))
+    out = out.where((F.col("_place") <= F.col("k")) & ~F.coalesce(F.col("_again") == F.col("id"), F.lit(False)))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("leg_rank", place).where("leg_rank <= k").select("query_id", "id", "score", "leg_rank")
 
@@ -107,7 +127,7 @@ def knn(records: DataFrame, searches: DataFrame) -> DataFrame:
     ``records``: id, embedding, timestamp_epoch, expires_at; ``searches``: query_id, qvec, k,
     since_epoch, until_epoch, now_epoch. Records or searches without a vector take no part.
     """
-    held = records.where(F.col("embedding").isNotNull()).select("id", "embedding", "timestamp_epoch", "expires_at")
+    held = records.where(F.col("id").isNotNull() & F.col("embedding").isNotNull()).select("id", "embedding", "timestamp_epoch", "expires_at")
     parts = []
     for block in blocks_of(searches.where(F.col("qvec").isNotNull()), ["query_id", "qvec", "k", "since_epoch", "until_epoch", "now_epoch"]):
         wanted = np.array([q["qvec"] for q in block], dtype=float)
@@ -122,10 +142,47 @@ def knn(records: DataFrame, searches: DataFrame) -> DataFrame:
     return _ranked(parts) if parts else records.sparkSession.createDataFrame([], EMPTY)
 
 
-def field_stats(indexed: DataFrame) -> tuple[int, float, float]:
-    """Number of records and the mean lengths of both fields."""
-    row = indexed.agg(F.count("*").alias("n"), F.avg(F.size("content_tokens")).alias("a"), F.avg(F.size("ngram_tokens")).alias("b")).first()
-    return row["n"], float(row["a"] or 0.0), float(row["b"] or 0.0)
+POSTINGS = "id string, timestamp_epoch double, expires_at double, long_0 int, long_1 int, terms array<int>, often_0 array<int>, often_1 array<int>"
+
+
+def _counts(tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term) as one number in order, how often each occurs, and the tokens of each row."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    number = pc.index_in(pc.list_flatten(tokens), value_set=vocabulary)
+    known = pc.is_valid(number).to_numpy(zero_copy_only=False)
+    cell = np.repeat(np.arange(len(lengths)), lengths)[known] * len(vocabulary) + number.drop_null().to_numpy(zero_copy_only=False)
+    return *np.unique(cell, return_counts=True), lengths
+
+
+def postings(indexed: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """id, times, the lengths of both fields and, for the terms of ``vocabulary`` that occur, how often in each field.
+
+    One row per record; the texts of two deliveries never meet, only these narrow rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            sides = [_counts(batch.column(name), words) for name in ("content_tokens", "ngram_tokens")]
+            cells = np.unique(np.concatenate([cell for cell, _, _ in sides]))
+            row, term = cells // max(1, len(words)), cells % max(1, len(words))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32))
+            often = []
+            for cell, count, _ in sides:
+                full = np.zeros(len(cells), dtype=np.int32)
+                full[np.searchsorted(cells, cell)] = count
+                often.append(pa.ListArray.from_arrays(offsets, pa.array(full)))
+            lengths = [pa.array(length.astype(np.int32)) for _, _, length in sides]
+            columns = [batch.column(name) for name in ("id", "timestamp_epoch", "expires_at")]
+            columns += [*lengths, pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))), *often]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "timestamp_epoch", "expires_at", "long_0", "long_1", "terms", "often_0", "often_1"])
+
+    held = indexed.where(F.col("id").isNotNull()).select("id", F.col("timestamp_epoch").cast("double"), F.col("expires_at").cast("double"), "content_tokens", "ngram_tokens")
+    return held.mapInArrow(run, POSTINGS).dropDuplicates(["id"])
+
+
+def _flat(lists: pd.Series) -> np.ndarray:
+    return np.concatenate(lists.to_list()) if len(lists) else np.zeros(0, dtype=np.int64)
 
 
 def bm25(indexed: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFrame:
@@ -134,42 +191,44 @@ def bm25(indexed: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFram
     ``indexed``: id, content_tokens, ngram_tokens, timestamp_epoch, expires_at; ``searches``:
     query_id, terms, k, since_epoch, until_epoch, now_epoch. Frequencies and mean lengths are taken
     over all records, before any filter of a search.
+
+    For each block of searches the texts are tokenized once: what is kept of a record are its lengths
+    and the terms that the block asks for. A block's terms come from at most ``BLOCK`` searches of
+    ``search_query_max_chars`` characters, which bounds what every task holds of them.
     """
     spark = indexed.sparkSession
-    total, mean_content, mean_ngram = field_stats(indexed)
-    fields = (("content_tokens", cfg.content_weight, mean_content), ("ngram_tokens", cfg.ngram_weight, mean_ngram))
     parts = []
     for block in blocks_of(searches.where(F.size("terms") > 0), ["query_id", "terms", "k", "since_epoch", "until_epoch", "now_epoch"]):
         vocabulary = sorted({t for q in block for t in q["terms"]})
         number = {t: i for i, t in enumerate(vocabulary)}
-        wanted = np.zeros((len(vocabulary), len(block)))
-        for j, q in enumerate(block):
-            for t in set(q["terms"]):
-                wanted[number[t], j] = 1.0
-        asked = F.broadcast(spark.createDataFrame([(t,) for t in vocabulary], "term string"))  # terms of one bounded block
-        idf = {}
-        for name, _, _ in fields:
-            df = indexed.select(F.explode(F.array_distinct(name)).alias("term")).join(asked, "term").groupBy("term").agg(F.count("*").alias("df"))
-            weights = np.zeros(len(vocabulary))
-            for row in df.collect():
-                weights[number[row["term"]]] = np.log(1 + (total - row["df"] + 0.5) / (row["df"] + 0.5))
-            idf[name] = weights
-
-        def scorer(pdf: pd.DataFrame, number=number, wanted=wanted, idf=idf) -> np.ndarray:
-            weights = np.zeros((len(pdf), len(number)))
-            for name, weight, mean in fields:
-                counts = np.zeros_like(weights)
-                for i, row in enumerate(pdf[name]):
-                    for t in row:
-                        at = number.get(t)
-                        if at is not None:
-                            counts[i, at] += 1.0
-                lengths = np.array([len(x) for x in pdf[name]], dtype=float)[:, None]
-                scale = cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * lengths / max(mean, 1e-300))
-                weights += weight * idf[name][None, :] * counts * (cfg.bm25_k1 + 1) / (counts + scale)
-            scores = weights @ wanted
-            scores[((weights > 0).astype(float) @ wanted) == 0] = -np.inf
-            return scores
-
-        parts.append(_search_block(indexed.select("id", "content_tokens", "ngram_tokens", "timestamp_epoch", "expires_at"), block, scorer))
+        pairs = np.array(sorted({(number[t], j) for j, q in enumerate(block) for t in q["terms"]}), dtype=np.int64)
+        starts = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))
+        asking = pairs[:, 1]  # the searches of each term, from starts[term] on
+        held = materialize(postings(indexed, vocabulary), "postings")
+        total, *means = held.agg(F.count("*"), F.avg("long_0"), F.avg("long_1")).first()
+        each = held.select(F.explode(F.arrays_zip("terms", "often_0", "often_1")).alias("x")).groupBy(F.col("x.terms").alias("term"))
+        found = each.agg(F.count_if(F.col("x.often_0") > 0).alias("df_0"), F.count_if(F.col("x.often_1") > 0).alias("df_1")).collect()  # the block's terms
+        idf = np.zeros((2, len(vocabulary)))
+        for row in found:
+            for k in (0, 1):
+                idf[k, row["term"]] = np.log(1 + (total - row[f"df_{k}"] + 0.5) / (row[f"df_{k}"] + 0.5))
+        shared = spark.sparkContext.broadcast((starts, asking, idf))
+        scales = [(weight, float(mean or 0.0)) for weight, mean in zip((cfg.content_weight, cfg.ngram_weight), means)]
+
+        def scorer(pdf: pd.DataFrame, shared=shared, scales=scales, width=len(block)) -> np.ndarray:
+            starts, asking, idf = shared.value
+            lists = pdf["terms"]
+            row, term = np.repeat(np.arange(len(pdf)), lists.map(len).to_numpy(dtype=np.int64)), _flat(lists)
+            weight = np.zeros(len(term))
+            for k, (share, mean) in enumerate(scales):
+                often = _flat(pdf[f"often_{k}"]).astype(float)
+                scale = cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * pdf[f"long_{k}"].to_numpy(dtype=float)[row] / max(mean, 1e-300))
+                weight += share * idf[k, term] * often * (cfg.bm25_k1 + 1) / (often + scale)
+            many = starts[term + 1] - starts[term]
+            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)
+            cell = np.repeat(row, many) * width + asking[at]
+            scores = np.bincount(cell, weights=np.repeat(weight, many), minlength=len(pdf) * width).reshape(len(pdf), width)
+            return np.where(scores > 0, scores, -np.inf)
+
+        parts.append(_search_block(held.where(F.size("terms") > 0), block, scorer))
     return _ranked(parts) if parts else spark.createDataFrame([], EMPTY)

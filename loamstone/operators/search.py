@@ -34,9 +34,11 @@ def fuse(nearest: DataFrame, matched: DataFrame) -> DataFrame:
 def candidates(fused: DataFrame, stored: DataFrame, asked: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Fused rows of the engine's owner with their record, search and keyword relevance.
 
-    The owner is checked here, after each leg's top k: other owners' rows use up the budget.
+    The owner is checked here, after each leg's top k: other owners' rows use up the budget. Records
+    are read for the ids that were found, so only those are shuffled.
     """
-    held = stored.select("id", "content", "timestamp_epoch", "owner_id", "session_id", "turn_id", "importance", "access_count", "parent_id")
+    fused = materialize(fused, "fused")
+    held = store.named(stored, fused, "arrived_at").select("id", "content", "timestamp_epoch", "owner_id", "session_id", "turn_id", "importance", "access_count", "parent_id")
     rows = fused.join(held, "id").where(F.col("owner_id") == cfg.owner)
     rows = rows.join(asked.select("query_id", "session", "now_epoch", "limit", F.col("asked"), F.col("normal").alias("_q"), F.col("tokens").alias("_qt")), "query_id")
     greatest = F.coalesce(F.max(F.abs("bm25")).over(W.partitionBy("query_id")), F.lit(0.0))
@@ -58,7 +60,8 @@ def resolve(rows: DataFrame, docs: DataFrame, order: list[Column], cfg: EngineCo
 
     A document of another owner goes with all its pieces; a piece without a document stays.
     """
-    held = docs.select(
+    parents = rows.where("parent_id <> ''").select(F.col("parent_id").alias("id"))
+    held = store.named(docs, parents, "timestamp_epoch").select(
         F.col("id").alias("_doc_id"), F.col("content").alias("_doc_content"), F.col("owner_id").alias("_doc_owner"), F.col("turn_id").alias("_doc_turn"),
         F.col("timestamp_epoch").alias("_doc_at"), F.col("chunk_count").alias("_doc_count"), F.col("chunk_ids").alias("_doc_chunks"),
     ).where(F.col("_doc_content").isNotNull())
@@ -117,8 +120,11 @@ def version_members(kept: DataFrame, stored: DataFrame, cfg: EngineConfig) -> Da
     A document is represented by its first piece; rows without a vector or with a short text take no part.
     """
     rep = F.when(F.col("is_doc"), F.get("chunk_ids", F.lit(0))).otherwise(F.col("id"))
-    vectors = stored.where(F.col("embedding").isNotNull() & (F.length("content") >= cfg.version_min_chars)).select(F.col("id").alias("_rep"), F.col("embedding").alias("vector"))
-    eligible = kept.select("query_id", "pos", rep.alias("_rep")).join(vectors, "_rep").select("query_id", "pos", "vector")
+    reps = kept.select("query_id", "pos", rep.alias("id"))
+    vectors = stored.where(F.col("embedding").isNotNull() & (F.length("content") >= cfg.version_min_chars))
+    order = [c for c in ("arrived_at",) if c in stored.columns]
+    vectors = store.named(vectors.select("id", F.col("embedding").alias("vector"), *order), reps, *order)
+    eligible = reps.join(vectors.select("id", "vector"), "id").select("query_id", "pos", "vector")
     return eligible.groupBy("query_id").applyInPandas(_closure(cfg.version_sim_threshold), "query_id string, pos int, version_group int")
 
 
@@ -188,7 +194,8 @@ def legs(stored: DataFrame, asked: DataFrame, cfg: EngineConfig) -> tuple[DataFr
 def search(stored: DataFrame, docs: DataFrame, asked: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Results of every search: normal rows first, then weak ones.
 
-    ``stored`` and ``docs`` are the views of ``store``; ``asked`` is ``store.searches``.
+    ``stored`` and ``docs`` are rows as they lie (``store.deliveries``) or views of ``store``; ``asked``
+    is ``store.searches``. Each leg scans the records once; what follows reads the ids it needs.
     """
     nearest, matched = legs(stored, asked, cfg)
     # Both legs are scanned once: the candidates (at most 200 a search) feed normal and weak rows alike.

@@ -16,6 +16,17 @@ def once(rows: DataFrame, key: str = "id", *order: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+def deliveries(mem: DataFrame) -> DataFrame:
+    """The rows of records as they lie, where one delivered twice is two rows: what a search scans."""
+    return mem.where(F.col("id").isNotNull()).withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
+
+
+def named(rows: DataFrame, ids: DataFrame, *order: str) -> DataFrame:
+    """The rows of ``ids`` (id), once each: only they are shuffled, the others stay where they lie."""
+    few = rows.join(ids.select("id").where(F.col("id").isNotNull()).distinct(), "id", "left_semi")
+    return once(few, "id", *(c for c in order if c in rows.columns))
+
+
 def records(mem: DataFrame) -> DataFrame:
     return once(mem, "id", "arrived_at").withColumn("parent_id", F.coalesce("parent_id", F.lit("")))
 

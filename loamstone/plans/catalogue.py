@@ -31,6 +31,16 @@ def rec(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return store.records(table(spark, root, "mem_records", *({"id", "arrived_at", "parent_id", *columns} if columns else ())))
 
 
+def lying(spark: SparkSession, root: str, *columns: str) -> DataFrame:
+    """The rows of records as they lie, deliveries not merged."""
+    return store.deliveries(table(spark, root, "mem_records", *({"id", "parent_id", *columns} if columns else ())))
+
+
+def bodies(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of documents as they lie."""
+    return table(spark, root, "doc_records").where(F.col("id").isNotNull()).withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>")))
+
+
 def doc(spark: SparkSession, root: str) -> DataFrame:
     return store.documents(table(spark, root, "doc_records"))
 
@@ -145,21 +155,21 @@ def _leg(rows: DataFrame) -> DataFrame:
 
 
 def knn_topk(spark, root):
-    return _leg(scan.knn(rec(spark, root), asked(spark, root)))
+    return _leg(scan.knn(lying(spark, root, "embedding", "timestamp_epoch", "expires_at"), asked(spark, root)))
 
 
 def bm25_topk(spark, root):
-    return _leg(scan.bm25(store.indexed(rec(spark, root, "content", "timestamp_epoch", "expires_at")), asked(spark, root), CFG))
+    return _leg(scan.bm25(store.indexed(lying(spark, root, "content", "timestamp_epoch", "expires_at")), asked(spark, root), CFG))
 
 
 def knn_owner_postfilter(spark, root):
-    stored = rec(spark, root)
+    stored = lying(spark, root, "embedding", "timestamp_epoch", "expires_at", "owner_id")
     near = scan.knn(stored, asked(spark, root)).join(stored.where(F.col("owner_id") == CFG.owner).select("id"), "id", "left_semi")
     return _leg(near)
 
 
 def _fused(spark, root):
-    stored, queries = rec(spark, root), asked(spark, root)
+    stored, queries = lying(spark, root), asked(spark, root)
     nearest, matched = search.legs(stored, queries, CFG)
     return stored, queries, search.fuse(nearest, matched)
 
@@ -186,7 +196,7 @@ def fused_score(spark, root):
 
 
 def search_full(spark, root):
-    rows = search.search(rec(spark, root), doc(spark, root), asked(spark, root), CFG)
+    rows = search.search(lying(spark, root), bodies(spark, root), asked(spark, root), CFG)
     return rows.select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "weak", "id", "is_doc", r6("score").alias("score"), r6("filter_score").alias("filter_score"),
         F.col("version_group").cast("bigint").alias("version_group"),
@@ -194,7 +204,7 @@ def search_full(spark, root):
 
 
 def search_counts(spark, root):
-    rows = search.search(rec(spark, root), doc(spark, root), asked(spark, root), CFG)
+    rows = search.search(lying(spark, root), bodies(spark, root), asked(spark, root), CFG)
     return rows.groupBy("query_id").agg(F.count_if(~F.col("weak")).alias("normal"), F.count_if("weak").alias("weak"), F.count_if("is_doc").alias("documents"))
 
 
@@ -215,7 +225,7 @@ def render_rows_all(spark, root):
 def render_blocks(spark, root):
     """The block of every search, within the context limit; a search without results gets the block that says so."""
     queries = asked(spark, root)
-    made = rendered(search.search(rec(spark, root), doc(spark, root), queries, CFG), CFG)
+    made = rendered(search.search(lying(spark, root), bodies(spark, root), queries, CFG), CFG)
     text = F.coalesce("block", F.lit(NO_HITS))
     return queries.select("query_id").join(made, "query_id", "left").select("query_id", T.context_size(text).cast("bigint").alias("size"), F.md5(text).alias("block"))
 
@@ -272,7 +282,7 @@ def ttl_refresh_guards(spark, root):
 
 def _search_hits(spark, root):
     """The normal results of every search that refresh takes: the top few of each."""
-    found = search.search(rec(spark, root), doc(spark, root), asked(spark, root), CFG)
+    found = search.search(lying(spark, root), bodies(spark, root), asked(spark, root), CFG)
     hits = found.where(~F.col("weak") & (F.col("rank") <= CFG.ttl_refresh_top_k)).select("query_id", "id", "is_doc", "chunk_id")
     return materialize(hits, "hits")  # refresh reads them several times
 
