@@ -62,23 +62,31 @@ def signs_to_space(text: Column) -> Column:
 
 def runs(normal: Column) -> Column:
     """Runs of one kind (bigram scripts or others) between spaces and signs, from normalized text."""
-    clean = signs_to_space(F.regexp_replace(normal, r"[\x00-\x1f\x7f]", " "))
-    return F.regexp_extract_all(clean, F.lit(f"([{CJK}]+|[^{CJK}{SPACES}]+)"), F.lit(1))
+    return F.regexp_extract_all(_spaced(normal), F.lit(f"([{CJK}]+|[^{CJK}{SPACES}]+)"), F.lit(1))
 
 
-def bigrams(of_runs: Column) -> Column:
-    """Each bigram-script run as its overlapping pairs, any other run whole."""
+# A place where a token begins: a pair of bigram-script characters, a lone one, or a run of others.
+# The place is looked at before it is passed, so pairs overlap and one scan of the text gives all tokens.
+_TOKEN = f"(?=([{CJK}]{{2}}|(?<![{CJK}])[{CJK}]|[^{CJK}{SPACES}]++))(?:[{CJK}]|[^{CJK}{SPACES}]++)"
+_LETTER = r"[\p{L}\p{N}]"
+_WORD = (
+    f"(?=([{CJK}&&{_LETTER}][{CJK}]|[{CJK}][{CJK}&&{_LETTER}]|(?<![{CJK}])[{CJK}&&{_LETTER}](?![{CJK}])|(?=[^{CJK}{SPACES}]*?[{_LETTER}&&[^{CJK}]])[^{CJK}{SPACES}]++))"
+    f"(?:[{CJK}]|[^{CJK}{SPACES}]++)"
+)
+
+
+def _spaced(normal: Column) -> Column:
+    return signs_to_space(F.regexp_replace(normal, r"[\x00-\x1f\x7f]", " "))
 
-    def one(run: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(run) - 1, F.lit(1))), lambda i: F.substring(run, i, F.lit(2)))
-        return F.when(run.rlike(f"^[{CJK}]") & (F.length(run) > 1), pairs).otherwise(F.array(run))
 
-    return F.flatten(F.transform(of_runs, one))
+def bigrams(normal: Column) -> Column:
+    """Each run of bigram script as its overlapping pairs, any other run whole, from normalized text."""
+    return F.regexp_extract_all(_spaced(normal), F.lit(_TOKEN), F.lit(1))
 
 
 def tokens(normal: Column) -> Column:
-    """Tokens with a letter or digit, from normalized text."""
-    return F.filter(bigrams(runs(normal)), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    """Those of ``bigrams`` with a letter or digit."""
+    return F.regexp_extract_all(_spaced(normal), F.lit(_WORD), F.lit(1))
 
 
 def query_terms(of_tokens: Column) -> Column:
@@ -105,9 +113,9 @@ def ngrams(normal: Column, folded_normal: Column) -> Column:
 
     def one(run: Column, other: Column) -> Column:
         extra = ~run.rlike(f"^[{CJK}]") & (F.coalesce(other, run) != run) & (other != "")
-        return F.when(extra, F.array(run, other)).otherwise(bigrams(F.array(run)))
+        return F.when(extra, F.array(run, other)).otherwise(bigrams(run))
 
-    return F.flatten(F.zip_with(own, plain, one))
+    return F.when(normal == folded_normal, bigrams(normal)).otherwise(F.flatten(F.zip_with(own, plain, one)))
 
 
 def coverage_tokens(of_tokens: Column) -> Column:
@@ -161,16 +169,38 @@ def text_parts(prompt: Column) -> Column:
     return F.when(F.ltrim(prompt).startswith("[") & typed, joined).otherwise(prompt)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _hex_modulo(digits: Column, length: int, dim: int) -> Column:
+    """The number that ``length`` hex digits tell, modulo ``dim``, seven digits at a time."""
+    rest = F.lit(0).cast("bigint")
+    for start in range(0, length, 7):
+        size = min(7, length - start)
+        part = F.conv(F.substring(digits, start + 1, size), 16, 10).cast("bigint")
+        rest = (rest * 16**size + part) % dim
+    return rest.cast("int")
+
+
 def hashed_vector(text: Column, dim: int = 16) -> Column:
     """A unit vector of hashed words, the stand-in for an embedding model: NULL without a word.
 
-    A word adds 1 at its MD5's last hex digit and a half at the fifth digit from the end (modulo ``dim`` <= 16).
+    A word adds 1 at its MD5 as a number modulo ``dim``, and a half at that number without its last four hex digits.
     """
+    if not 1 <= dim < 2**31:
+        raise ValueError("a vector has at least one place and fewer than 2**31")
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 32, 1), 16, 10).cast("int") % dim)
-    half = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 28, 1), 16, 10).cast("int") % dim)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)) + 0.5 * F.size(F.filter(half, lambda x: x == i))
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(F.size(words) > 0, F.transform(counts, lambda x: x / norm))
+    places = F.transform(F.transform(words, F.md5), lambda h: F.struct(_hex_modulo(h, 32, dim).alias("whole"), _hex_modulo(h, 28, dim).alias("half")))
+
+    def counted(held: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dim - 1)),
+            lambda i: F.size(F.filter(held, lambda x: x["whole"] == i)) + 0.5 * F.size(F.filter(held, lambda x: x["half"] == i)),
+        )
+
+    def unit(counts: Column) -> Column:
+        return _once(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(counts, lambda x: x / norm))
+
+    return _once(places, lambda held: F.when(F.size(held) > 0, _once(counted(held), unit)))

@@ -16,16 +16,17 @@ of summation or on partitioning.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.config import EngineConfig
+from loamstone.functions.fields import Terms
 from loamstone.scale import materialize, salt_of
 
 BLOCK = 2048
@@ -145,28 +146,27 @@ def knn(records: DataFrame, searches: DataFrame) -> DataFrame:
 POSTINGS = "id string, timestamp_epoch double, expires_at double, long_0 int, long_1 int, terms array<int>, often_0 array<int>, often_1 array<int>"
 
 
-def _counts(tokens: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term) as one number in order, how often each occurs, and the tokens of each row."""
-    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    number = pc.index_in(pc.list_flatten(tokens), value_set=vocabulary)
-    known = pc.is_valid(number).to_numpy(zero_copy_only=False)
-    cell = np.repeat(np.arange(len(lengths)), lengths)[known] * len(vocabulary) + number.drop_null().to_numpy(zero_copy_only=False)
-    return *np.unique(cell, return_counts=True), lengths
+def _counts(terms: list[list[int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term) as one number in order, how often each occurs, and the number of terms of each row."""
+    lengths = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
+    number = np.fromiter(chain.from_iterable(terms), dtype=np.int64, count=int(lengths.sum()))
+    row = np.repeat(np.arange(len(terms)), lengths)
+    return *np.unique((row * width + number)[number >= 0], return_counts=True), lengths
 
 
-def postings(indexed: DataFrame, vocabulary: list[str]) -> DataFrame:
+def postings(records: DataFrame, vocabulary: list[str]) -> DataFrame:
     """id, times, the lengths of both fields and, for the terms of ``vocabulary`` that occur, how often in each field.
 
     One row per record; the texts of two deliveries never meet, only these narrow rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pa.array(vocabulary, pa.string())
+        terms, width = Terms(vocabulary), max(1, len(vocabulary))
         for batch in batches:
-            sides = [_counts(batch.column(name), words) for name in ("content_tokens", "ngram_tokens")]
+            told = [terms.of(text) for text in batch.column("content").to_pylist()]
+            sides = [_counts([pair[k] for pair in told], width) for k in (0, 1)]
             cells = np.unique(np.concatenate([cell for cell, _, _ in sides]))
-            row, term = cells // max(1, len(words)), cells % max(1, len(words))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(cells // width, minlength=batch.num_rows)))).astype(np.int32))
             often = []
             for cell, count, _ in sides:
                 full = np.zeros(len(cells), dtype=np.int32)
@@ -174,10 +174,10 @@ def postings(indexed: DataFrame, vocabulary: list[str]) -> DataFrame:
                 often.append(pa.ListArray.from_arrays(offsets, pa.array(full)))
             lengths = [pa.array(length.astype(np.int32)) for _, _, length in sides]
             columns = [batch.column(name) for name in ("id", "timestamp_epoch", "expires_at")]
-            columns += [*lengths, pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))), *often]
+            columns += [*lengths, pa.ListArray.from_arrays(offsets, pa.array((cells % width).astype(np.int32))), *often]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "timestamp_epoch", "expires_at", "long_0", "long_1", "terms", "often_0", "often_1"])
 
-    held = indexed.where(F.col("id").isNotNull()).select("id", F.col("timestamp_epoch").cast("double"), F.col("expires_at").cast("double"), "content_tokens", "ngram_tokens")
+    held = records.where(F.col("id").isNotNull()).select("id", F.col("timestamp_epoch").cast("double"), F.col("expires_at").cast("double"), "content")
     return held.mapInArrow(run, POSTINGS).dropDuplicates(["id"])
 
 
@@ -185,10 +185,10 @@ def _flat(lists: pd.Series) -> np.ndarray:
     return np.concatenate(lists.to_list()) if len(lists) else np.zeros(0, dtype=np.int64)
 
 
-def bm25(indexed: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFrame:
+def bm25(records: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFrame:
     """query_id, id, score, leg_rank of the k best records of each search by two-field BM25.
 
-    ``indexed``: id, content_tokens, ngram_tokens, timestamp_epoch, expires_at; ``searches``:
+    ``records``: id, content, timestamp_epoch, expires_at; ``searches``:
     query_id, terms, k, since_epoch, until_epoch, now_epoch. Frequencies and mean lengths are taken
     over all records, before any filter of a search.
 
@@ -196,7 +196,7 @@ def bm25(indexed: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFram
     and the terms that the block asks for. A block's terms come from at most ``BLOCK`` searches of
     ``search_query_max_chars`` characters, which bounds what every task holds of them.
     """
-    spark = indexed.sparkSession
+    spark = records.sparkSession
     parts = []
     for block in blocks_of(searches.where(F.size("terms") > 0), ["query_id", "terms", "k", "since_epoch", "until_epoch", "now_epoch"]):
         vocabulary = sorted({t for q in block for t in q["terms"]})
@@ -204,7 +204,7 @@ def bm25(indexed: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFram
         pairs = np.array(sorted({(number[t], j) for j, q in enumerate(block) for t in q["terms"]}), dtype=np.int64)
         starts = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))
         asking = pairs[:, 1]  # the searches of each term, from starts[term] on
-        held = materialize(postings(indexed, vocabulary), "postings")
+        held = materialize(postings(records, vocabulary), "postings")
         total, *means = held.agg(F.count("*"), F.avg("long_0"), F.avg("long_1")).first()
         each = held.select(F.explode(F.arrays_zip("terms", "often_0", "often_1")).alias("x")).groupBy(F.col("x.terms").alias("term"))
         found = each.agg(F.count_if(F.col("x.often_0") > 0).alias("df_0"), F.count_if(F.col("x.often_1") > 0).alias("df_1")).collect()  # the block's terms

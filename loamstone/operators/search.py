@@ -188,7 +188,7 @@ RESULT = ("query_id", "rank", "weak", "id", "chunk_id", "is_doc", "chunk_count",
 
 
 def legs(stored: DataFrame, asked: DataFrame, cfg: EngineConfig) -> tuple[DataFrame, DataFrame]:
-    return scan.knn(stored, asked), scan.bm25(store.indexed(stored.select("id", "content", "timestamp_epoch", "expires_at")), asked, cfg)
+    return scan.knn(stored, asked), scan.bm25(stored, asked, cfg)
 
 
 def search(stored: DataFrame, docs: DataFrame, asked: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -197,6 +197,7 @@ def search(stored: DataFrame, docs: DataFrame, asked: DataFrame, cfg: EngineConf
     ``stored`` and ``docs`` are rows as they lie (``store.deliveries``) or views of ``store``; ``asked``
     is ``store.searches``. Each leg scans the records once; what follows reads the ids it needs.
     """
+    asked = materialize(asked, "searches")
     nearest, matched = legs(stored, asked, cfg)
     # Both legs are scanned once: the candidates (at most 200 a search) feed normal and weak rows alike.
     cands = materialize(candidates(fuse(nearest, matched), stored, asked, cfg), "candidates")

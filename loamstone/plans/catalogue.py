@@ -159,7 +159,7 @@ def knn_topk(spark, root):
 
 
 def bm25_topk(spark, root):
-    return _leg(scan.bm25(store.indexed(lying(spark, root, "content", "timestamp_epoch", "expires_at")), asked(spark, root), CFG))
+    return _leg(scan.bm25(lying(spark, root, "content", "timestamp_epoch", "expires_at"), asked(spark, root), CFG))
 
 
 def knn_owner_postfilter(spark, root):
@@ -169,7 +169,7 @@ def knn_owner_postfilter(spark, root):
 
 
 def _fused(spark, root):
-    stored, queries = lying(spark, root), asked(spark, root)
+    stored, queries = lying(spark, root), materialize(asked(spark, root), "searches")
     nearest, matched = search.legs(stored, queries, CFG)
     return stored, queries, search.fuse(nearest, matched)
 

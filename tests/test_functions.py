@@ -1,14 +1,17 @@
 """Text, ranking, chunking and configuration functions on literal cases."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loamstone import config
 from loamstone.config import EngineConfig
-from loamstone.functions import chunk
+from loamstone.functions import chunk, fields
 from loamstone.functions import rank as R
 from loamstone.functions import text as T
-from loamstone.operators import render
+from loamstone.operators import render, store
 
 CFG = EngineConfig()
 
@@ -51,6 +54,17 @@ def test_ngrams(spark):
     assert got == [["café", "cafe", "記憶", "憶装", "naive"], []]
 
 
+def test_fields_in_one_pass_are_those_of_the_columns(spark, data):
+    """The scan's terms against the column functions, on every text of the smallest table and some rare characters."""
+    texts = spark.read.parquet(f"{data}/mem_records.parquet").select("content").union(spark.createDataFrame([("Ünï-cödé x_y \u00ad記憶\u3000é\x1f装",), ("",), (None,), ("e\u0301\u0301 ばば",)], "content string"))
+    rows = store.indexed(texts).collect()
+    vocabulary = sorted({t for r in rows for t in [*(r["content_tokens"] or []), *(r["ngram_tokens"] or [])]})
+    terms = fields.Terms(vocabulary)
+    for r in rows:
+        whole, parts = terms.of(r["content"])
+        assert [vocabulary[k] for k in whole] == (r["content_tokens"] or []) and [vocabulary[k] for k in parts] == (r["ngram_tokens"] or [])
+
+
 def test_purify_and_visibility(spark):
     assert on(spark, T.purify, "see ```py\nx=1\n``` here") == "see [code omitted] here"
     assert on(spark, T.purify, "open ```x") == "open [code omitted]"
@@ -117,6 +131,16 @@ def test_hashed_vector(spark):
     assert on(spark, lambda t: T.hashed_vector(t), " ") is None
 
 
+@pytest.mark.parametrize("dim", [1, 16, 17, 96, 768])
+def test_hashed_vector_fills_every_dimension(spark, dim):
+    want = np.zeros(dim)
+    for word in ("alpha", "beta", "alpha", "ギター"):
+        h = int(hashlib.md5(word.encode()).hexdigest(), 16)
+        want[h % dim] += 1.0
+        want[(h >> 16) % dim] += 0.5
+    assert on(spark, lambda t: T.hashed_vector(t, dim), "alpha beta\nALPHA ギター") == pytest.approx(list(want / np.linalg.norm(want)))
+
+
 def test_config(tmp_path):
     got, notes = config.from_mapping({"min_score": 0.5, "ttl_seconds": "1", "half_life_days": 0, "version_order_enabled": 1, "chunk_threshold": 80, "unknown": 1})
     assert got.min_score == 0.5 and got.ttl_seconds == 604800 and got.half_life_days == 3.0 and got.version_order_enabled is True
