@@ -159,7 +159,7 @@ def main_rows(cands: DataFrame, stored: DataFrame, docs: DataFrame, cfg: EngineC
     main = scored(main, F.when(near, F.col("real_cos")).otherwise(F.lit(0.0)), cfg)
     main = reranked(resolve(main, docs, [F.desc("score"), F.asc("place")], cfg), cfg)
     kept = main.where(F.col("filter_score") >= cfg.min_score)
-    kept = kept.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*_final_order())))
+    kept = materialize(kept.withColumn("pos", F.row_number().over(W.partitionBy("query_id").orderBy(*_final_order()))), "kept")
     return version_ordered(kept, stored, cfg)
 
 
