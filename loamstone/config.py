@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass, fields, replace
 class EngineConfig:
     """Settings of ingestion and search. The clock is no setting: operations take ``now``."""
 
-    owner: str = "own-8dab45165e"
+    owner: str = ""
     default_session: str = ""
     ttl_seconds: int = 604800
     half_life_days: float = 3.0
@@ -30,6 +30,7 @@ class EngineConfig:
     access_count_enabled: bool = False
     access_count_weight: float = 0.02
     access_count_max_boost: float = 0.5
+    ttl_refresh_on_search: bool = True
     ttl_refresh_top_k: int = 5
     lexical_rerank_enabled: bool = True
     rerank_weight: float = 0.3

@@ -28,13 +28,18 @@ def keyword_relevance(score: Column, greatest: Column, threshold: float) -> Colu
     return F.when(size < threshold, F.lit(0.0)).otherwise(F.least(F.lit(1.0), size / F.greatest(F.lit(1.0), F.abs(F.coalesce(greatest, F.lit(0.0))))))
 
 
+def _finite(x: Column) -> Column:
+    """Whether a number is one: neither missing, NaN nor infinite."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+
+
 def time_decay(at: Column, now: Column, half_life_days: float) -> Column:
     days = F.greatest(F.lit(0.0), (now - at) / 86400.0)
-    return F.when(at.isNull() | F.isnan(at), F.lit(1.0)).otherwise(F.pow(F.lit(2.0), -days / half_life_days))
+    return F.when(_finite(at), F.pow(F.lit(2.0), -days / half_life_days)).otherwise(F.lit(1.0))
 
 
 def local_boost(importance: Column, accesses: Column, cfg: EngineConfig) -> Column:
-    own = F.when(importance.isNull() | F.isnan(importance), F.lit(1.0)).otherwise(importance)
+    own = F.when(_finite(importance), importance).otherwise(F.lit(1.0))
     if cfg.access_count_enabled:
         own = own + F.least(F.lit(cfg.access_count_max_boost), F.coalesce(accesses, F.lit(0)) * cfg.access_count_weight)
     return F.greatest(F.lit(0.5), F.least(F.lit(2.0), own))

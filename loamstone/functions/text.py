@@ -161,6 +161,38 @@ def fmt_saved(epoch: Column) -> Column:
     return F.coalesce(F.when(~F.isnan(epoch) & (F.abs(epoch) < 2.5e11), told), F.lit("unknown"))
 
 
+_DAY = r"^\d{4}-\d{2}-\d{2}\z"
+_MOMENT = r"^(\d{4}-\d{2}-\d{2})[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?)?(?:([Zz])|([+-]\d{2})(?::?(\d{2}))?)?\z"
+
+
+def time_bound(text: Column, until: bool = False) -> Column:
+    """The epoch of an ISO date or date and time; NULL where there is none or it can't be read.
+
+    A date alone is its first moment, as ``until`` its last. A time without an offset is one of the
+    session's zone.
+    """
+    value = strip(text)
+    part = lambda k: F.regexp_extract(value, _MOMENT, k)
+    other = lambda k: F.when(part(k) == "", F.lit("00")).otherwise(part(k))
+    zone = F.when(part(6) != "", F.lit("+00:00")).when(part(7) != "", F.concat(part(7), F.lit(":"), other(8))).otherwise(F.lit(""))
+    fraction = F.substring(F.rpad(part(5), 6, "0"), 1, 6)
+    moment = F.concat(part(1), F.lit(" "), part(2), F.lit(":"), other(3), F.lit(":"), other(4), F.lit("."), fraction, zone)
+    day = F.concat(value, F.lit(" 23:59:59.999999" if until else " 00:00:00.000000"))
+    told = F.when(value.rlike(_DAY), day).when(value.rlike(_MOMENT), moment)
+    return F.unix_micros(told.try_cast("timestamp")) / 1e6
+
+
+def bounds_error(since: Column, until: Column) -> Column:
+    """What is wrong with a pair of bounds as texts, or NULL."""
+    a, b = time_bound(since), time_bound(until, True)
+
+    def unread(name: str, text: Column, bound: Column) -> Column:
+        told = F.concat(F.lit(f"Error: {name} must be an ISO 8601 date or datetime (got '"), text, F.lit("')"))
+        return F.when((strip(F.coalesce(text, F.lit(""))) != "") & bound.isNull(), told)
+
+    return F.coalesce(unread("since", since, a), unread("until", until, b), F.when(a > b, F.lit("Error: since is later than until")))
+
+
 def text_parts(prompt: Column) -> Column:
     """The text parts of a JSON array of typed parts, by lines; any other text unchanged."""
     parts = F.from_json(prompt, "array<struct<type:string,text:string>>", {"mode": "PERMISSIVE"})

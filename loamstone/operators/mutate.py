@@ -2,6 +2,7 @@
 
 There is no update in place: an operation returns the rows that remain or change, and a writer
 replaces the snapshot. Each operation is keyed joins over the snapshot, without a driver-side loop.
+Given the time, an operation sees and leaves live rows only: what has expired is gone, not revived.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from loamstone.config import EngineConfig
 from loamstone.functions import text as T
-from loamstone.operators.store import live
+from loamstone.operators.search import search
+from loamstone.operators.store import living
+from loamstone.scale import materialize
 
 
 @dataclass(frozen=True)
@@ -23,9 +26,9 @@ class Snapshot:
     guards: DataFrame
 
 
-def expire(store: Snapshot, now: float) -> Snapshot:
-    """Without the rows whose time to live has elapsed."""
-    return Snapshot(*(t.where(live(F.col("expires_at"), now)) for t in (store.records, store.documents, store.guards)))
+def expire(store: Snapshot, now: float | None) -> Snapshot:
+    """Without the rows whose time to live has elapsed; all rows where no time is given."""
+    return Snapshot(*(living(t, now) for t in (store.records, store.documents, store.guards)))
 
 
 def stored_guards(rows: DataFrame, is_doc: bool) -> DataFrame:
@@ -37,10 +40,16 @@ def stored_guards(rows: DataFrame, is_doc: bool) -> DataFrame:
 def refresh(store: Snapshot, hits: DataFrame, cfg: EngineConfig, now: float) -> Snapshot:
     """Extend the hits' life by the full time to live and count the access.
 
-    ``hits``: id, is_doc, chunk_id of normal results within the top few of their search. A document
-    takes its pieces and the piece that hit along; only the hit itself counts; its guard, and that
-    of a standalone record, is set again.
+    ``hits``: id, is_doc, chunk_id of results. Where they have ``weak`` or ``rank`` (as a search
+    returns them), weak rows and those below the first ``ttl_refresh_top_k`` of a search are left as
+    they are. A document takes its pieces and the piece that hit along; only the hit itself counts;
+    its guard, and that of a standalone record, is set again. Rows that have expired stay away.
     """
+    store = expire(store, now)
+    if "weak" in hits.columns:
+        hits = hits.where(~F.col("weak"))
+    if "rank" in hits.columns:
+        hits = hits.where(F.col("rank") <= cfg.ttl_refresh_top_k)
     top = hits.select("id", "is_doc", "chunk_id").distinct()
     docs_hit = store.documents.join(top.where("is_doc").select("id").distinct(), "id", "left_semi")
     singles = store.records.join(top.where(~F.col("is_doc")).select("id").distinct(), "id", "left_semi")
@@ -63,6 +72,12 @@ def refresh(store: Snapshot, hits: DataFrame, cfg: EngineConfig, now: float) ->
     return Snapshot(records, documents, guards)
 
 
+def search_then_refresh(store: Snapshot, asked: DataFrame, cfg: EngineConfig, now: float) -> tuple[DataFrame, Snapshot]:
+    """The results of a batch of searches, and the snapshot in which their first normal rows live on."""
+    found = materialize(search(store.records, store.documents, asked, cfg), "results")
+    return found, refresh(store, found, cfg, now) if cfg.ttl_refresh_on_search else store
+
+
 def _without_guards(guards: DataFrame, gone: DataFrame) -> DataFrame:
     """Drop the guards of deleted rows (id, guard_key) that name that row or none."""
     dead = gone.select("guard_key", F.col("id").alias("_gone"))
@@ -70,11 +85,12 @@ def _without_guards(guards: DataFrame, gone: DataFrame) -> DataFrame:
     return guards.join(owned, "guard_key", "left_anti")
 
 
-def delete(store: Snapshot, ids: DataFrame, cfg: EngineConfig) -> tuple[Snapshot, DataFrame]:
+def delete(store: Snapshot, ids: DataFrame, cfg: EngineConfig, now: float | None = None) -> tuple[Snapshot, DataFrame]:
     """Delete records and documents (with all their pieces) by id; also status and pieces per id.
 
     ``ids``: id, where a leading ``doc:`` or ``mem:`` is dropped. Another owner's rows are not found.
     """
+    store = expire(store, now)
     asked = ids.select(F.regexp_replace(F.trim("id"), "^(doc|mem):", "").alias("id")).distinct()
     docs = store.documents.join(asked, "id", "left_semi").where(F.col("owner_id") == cfg.owner)
     named = docs.where(F.size("chunk_ids") > 0).select(F.col("id").alias("doc"), F.explode("chunk_ids").alias("id"))
@@ -94,12 +110,13 @@ def delete(store: Snapshot, ids: DataFrame, cfg: EngineConfig) -> tuple[Snapshot
     return after, report
 
 
-def delete_session(store: Snapshot, sessions: DataFrame, cfg: EngineConfig) -> tuple[Snapshot, DataFrame]:
+def delete_session(store: Snapshot, sessions: DataFrame, cfg: EngineConfig, now: float | None = None) -> tuple[Snapshot, DataFrame]:
     """Delete everything labelled with the sessions; also the four counts per session.
 
     A document goes with all its pieces, whatever their label. A piece labelled with the session
     whose document stays is left alone; an orphan piece counts as a piece.
     """
+    store = expire(store, now)
     asked = sessions.select("session_id").where(T.strip(F.col("session_id")) != "").distinct()
     own = store.records.where(F.col("owner_id") == cfg.owner)
     docs = store.documents.where(F.col("owner_id") == cfg.owner).join(asked, "session_id", "left_semi")
@@ -137,8 +154,9 @@ def missing_vectors(records: DataFrame, cfg: EngineConfig) -> DataFrame:
     return records.where((F.col("owner_id") == cfg.owner) & F.col("embedding").isNull() & F.col("content").isNotNull())
 
 
-def repair(store: Snapshot, embed, cfg: EngineConfig) -> tuple[Snapshot, DataFrame]:
+def repair(store: Snapshot, embed, cfg: EngineConfig, now: float | None = None) -> tuple[Snapshot, DataFrame]:
     """Embed up to a batch of the records that lack a vector, oldest ids first; also reembedded and remaining."""
+    store = expire(store, now)
     lacking = missing_vectors(store.records, cfg)
     chosen = lacking.select("id").orderBy("id").limit(cfg.repair_batch if embed else 0)
     done = store.records.join(chosen, "id", "left_semi").select("id", (embed(F.col("content")) if embed else F.lit(None).cast("array<float>")).alias("_new"))

@@ -40,6 +40,11 @@ def live(expires: Column, now: Column | float) -> Column:
     return F.coalesce(expires > now, F.lit(True))
 
 
+def living(rows: DataFrame, now: float | None) -> DataFrame:
+    """The rows that are live at ``now``; all where no time is given."""
+    return rows if now is None else rows.where(live(F.col("expires_at"), now))
+
+
 def indexed(stored: DataFrame) -> DataFrame:
     """Records with the tokens of both text fields, lower-cased."""
     held = stored.withColumn("_normal", T.nfkc(F.col("content")))

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.config import EngineConfig
 from loamstone.functions import text as T
+from loamstone.operators.store import living
+from loamstone.scale import latest_before, materialize
 
 
-def list_newest(records: DataFrame, documents: DataFrame, limit: int | None, cfg: EngineConfig) -> DataFrame:
-    """The newest standalone records and documents of the owner, by their ISO time.
+def list_newest(records: DataFrame, documents: DataFrame, limit: int | None, cfg: EngineConfig, now: float | None = None) -> DataFrame:
+    """The newest standalone records and documents of the owner that are live at ``now``, by their ISO time.
 
-    No limit or 0 means 20, a negative one means 1. Both sides are cut before they meet.
+    No limit or 0 means 20, a negative one means 1. Both sides are cut before they meet. Without a
+    ``now`` the rows are taken as live.
     """
     n = max(1, limit or 20)
+    records, documents = living(records, now), living(documents, now)
     singles = records.where((F.col("owner_id") == cfg.owner) & (F.col("parent_id") == ""))
     singles = singles.orderBy(F.desc_nulls_last("timestamp_epoch"), F.desc("id")).limit(n)
     whole = documents.where((F.col("owner_id") == cfg.owner) & F.col("content").isNotNull()).orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
@@ -41,14 +44,17 @@ def recall_rows(records: DataFrame, documents: DataFrame, cfg: EngineConfig) ->
     return docs.select(*columns, F.lit(True).alias("is_doc")).unionByName(free.select(*columns, F.lit(False).alias("is_doc")))
 
 
-def recall_thread(records: DataFrame, documents: DataFrame, turn_id: str, before: int = 2, after: int = 2, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """The rows from ``before`` ones ahead of a turn's first row to ``after`` ones behind its last, in time order.
+def recall_thread(
+    records: DataFrame, documents: DataFrame, turn_id: str, before: int = 2, after: int = 2, cfg: EngineConfig = EngineConfig(), now: float | None = None
+) -> DataFrame:
+    """The live rows from ``before`` ones ahead of a turn's first row to ``after`` ones behind its last, in time order.
 
     Rows between them that belong to other turns are part of the slice. Two bounded top-k scans find
-    its ends, so nothing is numbered over the whole store.
+    its ends, so nothing is numbered over the whole store, which is read once for narrow rows.
     """
     at = F.coalesce("timestamp_epoch", F.lit(0.0))
-    rows = recall_rows(records, documents, cfg).withColumn("_at", at)
+    rows = recall_rows(living(records, now), living(documents, now), cfg)
+    rows = materialize(rows.select("id", "turn_id", "timestamp_epoch", "is_doc", at.alias("_at")), "thread")
     hits = rows.where(F.col("turn_id") == turn_id)
     edge = hits.agg(F.min(F.struct("_at", "id")).alias("a"), F.max(F.struct("_at", "id")).alias("b"))
     placed = rows.join(F.broadcast(edge), F.lit(True)).where("a is not null")  # one row
@@ -59,22 +65,20 @@ def recall_thread(records: DataFrame, documents: DataFrame, turn_id: str, before
     return lead.unionByName(inner).unionByName(trail).select("id", "turn_id", "timestamp_epoch", "is_doc", (F.coalesce(F.col("turn_id") == turn_id, F.lit(False))).alias("is_hit"))
 
 
-def previous_replies(records: DataFrame) -> DataFrame:
-    """For each user message the reply before it in its session: id, session_id, reply_id.
-
-    The as-of lookup is one window over narrow rows of a session.
-    """
+def _messages(records: DataFrame, *columns: str) -> DataFrame:
     rows = records.where((F.coalesce("session_id", F.lit("")) != "") & F.col("content").rlike(T.MESSAGE_PREFIX))
-    rows = rows.select("id", "session_id", "timestamp_epoch", F.regexp_extract("content", T.MESSAGE_PREFIX, 1).alias("role"))
-    order = W.partitionBy("session_id").orderBy("timestamp_epoch", "id").rowsBetween(W.unboundedPreceding, -1)
-    reply = F.last(F.when(F.col("role") == "claude", F.col("id")), ignorenulls=True).over(order)
-    return rows.withColumn("reply_id", reply).where("role = 'user'").select("id", "session_id", "reply_id")
+    return rows.select(*columns, F.regexp_extract("content", T.MESSAGE_PREFIX, 1).alias("role"))
+
+
+def previous_replies(records: DataFrame) -> DataFrame:
+    """For each user message the reply before it in its session: id, session_id, reply_id."""
+    rows = _messages(records, "id", "session_id", "timestamp_epoch")
+    told = latest_before(rows, "session_id", ["timestamp_epoch", "id"], F.when(F.col("role") == "claude", F.col("id")), "reply_id")
+    return told.where("role = 'user'").select("id", "session_id", "reply_id")
 
 
 def turn_handoff(records: DataFrame) -> DataFrame:
     """For each reply the turn of the latest prompt before it in its session: id, own_turn, prompt_turn."""
-    rows = records.where((F.coalesce("session_id", F.lit("")) != "") & F.col("content").rlike(T.MESSAGE_PREFIX))
-    rows = rows.select("id", "session_id", "turn_id", "timestamp_epoch", F.regexp_extract("content", T.MESSAGE_PREFIX, 1).alias("role"))
-    order = W.partitionBy("session_id").orderBy("timestamp_epoch", "id").rowsBetween(W.unboundedPreceding, -1)
-    turn = F.last(F.when(F.col("role") == "user", F.col("turn_id")), ignorenulls=True).over(order)
-    return rows.withColumn("prompt_turn", turn).where("role = 'claude'").select("id", F.col("turn_id").alias("own_turn"), "prompt_turn")
+    rows = _messages(records, "id", "session_id", "turn_id", "timestamp_epoch")
+    told = latest_before(rows, "session_id", ["timestamp_epoch", "id"], F.when(F.col("role") == "user", F.col("turn_id")), "prompt_turn")
+    return told.where("role = 'claude'").select("id", F.col("turn_id").alias("own_turn"), "prompt_turn")

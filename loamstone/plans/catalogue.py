@@ -15,11 +15,12 @@ from loamstone.functions import rank as R
 from loamstone.functions import text as T
 from loamstone.operators import ingest, mutate, scan, search, store, views
 from loamstone.operators.render import NO_HITS, rendered, row_text
-from loamstone.scale import materialize
+from loamstone.scale import materialize, numbered
+from loamstone.sources import transcripts
 from loamstone.sources.tables import table
 
 #: The hashed test vectors are not those of a trained model, so the vector floor is lower than the default.
-CFG = EngineConfig(vector_min_cos=0.7)
+CFG = EngineConfig(owner="own-8dab45165e", vector_min_cos=0.7)
 NOW = 1769500000.0
 
 
@@ -82,8 +83,9 @@ def role_prefix(spark, root):
 
 
 def text_guard(spark, root):
+    """The guard of every standalone record and of every document."""
     rows = rec(spark, root, "content", "turn_id").where("parent_id = ''")
-    return mutate.stored_guards(rows, False)
+    return mutate.stored_guards(rows, False).unionByName(mutate.stored_guards(doc(spark, root), True))
 
 
 def text_tokens(spark, root):
@@ -108,15 +110,28 @@ def safe_session(spark, root):
 
 
 def saved_times(spark, root):
-    rows = rec(spark, root, "timestamp_epoch").where(F.col("timestamp_epoch") < 1e11)
-    return rows.select("id", T.fmt_saved(F.col("timestamp_epoch")).alias("saved"))
-
-
-def saved_times_all(spark, root):
     """The saved time of every record, also of those whose time is missing or no usual one."""
     return rec(spark, root, "timestamp_epoch").select("id", T.fmt_saved(F.col("timestamp_epoch")).alias("saved"))
 
 
+def time_bounds(spark, root):
+    """Every record's time as a bound in five forms, two of which can't be read."""
+    at = F.col("timestamp")
+    forms = {"iso": at, "day": F.substring(at, 1, 10), "spaced": F.replace(at, F.lit("T"), F.lit(" ")), "slashed": F.replace(F.substring(at, 1, 10), F.lit("-"), F.lit("/")), "month": F.concat(F.lit("2026-13-"), F.substring(at, 9, 2))}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), v.alias("told")) for k, v in forms.items())))
+    rows = rec(spark, root, "timestamp").select("id", each.alias("x")).select("id", "x.form", "x.told")
+    since, until = T.time_bound(F.col("told")), T.time_bound(F.col("told"), True)
+    return rows.select("id", "form", F.round(since, 3).alias("since"), F.round(until, 3).alias("until"), T.bounds_error(F.col("told"), F.lit("2026-02-01")).alias("error"))
+
+
+def text_parts(spark, root):
+    """Prompts of typed parts, made from the calls: their text parts by lines."""
+    calls = table(spark, root, "incoming", "arrival", "content", "role").where("content IS NOT NULL AND role IS NOT NULL")
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    prompt = F.to_json(F.array(part("text", F.col("content")), part("image", F.lit("none")), part("text", F.col("role"))))
+    return calls.select("arrival", F.md5(T.text_parts(prompt)).alias("text"), F.md5(T.text_parts(F.col("content"))).alias("plain"))
+
+
 def chunk_counts(spark, root):
     bodies = doc(spark, root).select("id", F.regexp_replace("content", r"^\[(user|claude)\] ", "").alias("body"))
     cut = bodies.withColumn("p", C.chunks(F.col("body"), CFG.chunk_threshold, CFG.chunk_overlap))
@@ -134,7 +149,30 @@ def query_vectors(spark, root):
 
 def ingest_statuses(spark, root):
     calls = ingest.resolved(ingest.judged(table(spark, root, "incoming"), CFG.with_(owner=""), NOW), guards(spark, root), NOW)
-    return calls.select("arrival", "status", "guard_key")
+    return calls.select("arrival", "status", "guard_key", F.when(F.col("status") == "duplicate", F.col("existing_id")).alias("existing_id"))
+
+
+def ingest_without_code(spark, root):
+    """The statuses where calls with a code fence are refused."""
+    cfg = CFG.with_(owner="", skip_code_blocks=True)
+    return ingest.resolved(ingest.judged(table(spark, root, "incoming"), cfg, NOW), guards(spark, root), NOW).select("arrival", "status")
+
+
+def _ingested(spark, root):
+    return ingest.ingest(table(spark, root, "incoming"), guards(spark, root), CFG.with_(owner=""), NOW)
+
+
+def ingest_records(spark, root):
+    """The rows that saving all calls appends to the records."""
+    rows = _ingested(spark, root).records
+    kept = ["id", "parent_id", "agent_name", "session_id", "turn_id", "timestamp", "access_count"]
+    return rows.select(*kept, F.md5("content").alias("content"), r6("importance").alias("importance"), F.round("expires_at", 3).alias("expires_at"))
+
+
+def ingest_documents(spark, root):
+    """The rows that saving all calls appends to the documents."""
+    rows = _ingested(spark, root).documents
+    return rows.select("id", F.md5("content").alias("content"), F.col("chunk_count").cast("bigint").alias("chunk_count"), F.array_join("chunk_ids", " ").alias("chunk_ids"), F.round("expires_at", 3).alias("expires_at"))
 
 
 def ingest_counts(spark, root):
@@ -209,12 +247,6 @@ def search_counts(spark, root):
 
 
 def render_rows(spark, root):
-    rows = rec(spark, root).where((F.col("owner_id") == CFG.owner) & (F.col("timestamp_epoch") < 1e11))
-    shaped = rows.select("id", "content", "turn_id", "timestamp_epoch", F.lit(False).alias("is_doc"), F.lit(0).alias("chunk_count"), F.lit(0.5).alias("score"))
-    return shaped.select("id", F.md5(row_text()).alias("line"))
-
-
-def render_rows_all(spark, root):
     """The row of every record and document, of any owner and time."""
     shared = ("id", "content", "turn_id", "timestamp_epoch")
     single = rec(spark, root, *shared).select(*shared, F.lit(False).alias("is_doc"), F.lit(0).alias("chunk_count"), F.lit(0.5).alias("score"))
@@ -231,20 +263,10 @@ def render_blocks(spark, root):
 
 
 def record_neighbours(spark, root):
-    """The 20 nearest of the owner's records to each of them whose id is divisible by 100."""
-    stored = rec(spark, root).where((F.col("owner_id") == CFG.owner) & F.col("embedding").isNotNull())
-    ends = F.lit(None).cast("double")
-    chosen = stored.where(F.conv(F.substring("id", -6, 6), 16, 10).cast("bigint") % 100 == 0)
-    own = chosen.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(20).alias("k"), ends.alias("since_epoch"), ends.alias("until_epoch"), ends.alias("now_epoch"))
-    return _leg(scan.knn(stored, own))
-
-
-def record_neighbours_all(spark, root):
     """The 20 nearest of all records with a vector to each of them whose id is divisible by 100, whatever the owner."""
-    # Read once for each block of searches, so first deliveries are kept.
-    stored = materialize(rec(spark, root, "embedding", "timestamp_epoch", "expires_at").where(F.col("embedding").isNotNull()), "vectors")
+    stored = lying(spark, root, "embedding", "timestamp_epoch", "expires_at").where(F.col("embedding").isNotNull())
     ends = F.lit(None).cast("double")
-    chosen = stored.where(F.conv(F.substring("id", -6, 6), 16, 10).cast("bigint") % 100 == 0)
+    chosen = stored.where(F.conv(F.substring("id", -6, 6), 16, 10).cast("bigint") % 100 == 0).dropDuplicates(["id"])
     asking = chosen.select(F.col("id").alias("query_id"), F.col("embedding").alias("qvec"), F.lit(20).alias("k"), ends.alias("since_epoch"), ends.alias("until_epoch"), ends.alias("now_epoch"))
     return _leg(scan.knn(stored, asking))
 
@@ -261,86 +283,82 @@ def time_window(spark, root):
     return rows.select("id", r6(R.time_decay(F.col("timestamp_epoch"), F.lit(NOW), CFG.half_life_days)).alias("decay"))
 
 
-def _hits(spark, root):
-    """The latest records of the owner, as if a search had hit them."""
-    rows = rec(spark, root).where((F.col("owner_id") == CFG.owner) & (F.col("timestamp_epoch") < NOW))
-    rows = rows.orderBy(F.desc("timestamp_epoch"), F.desc("id")).limit(CFG.ttl_refresh_top_k)  # the refresh takes the top few only
-    docs = doc(spark, root).select(F.col("id").alias("parent_id"), F.lit(True).alias("_d"))
-    held = rows.join(docs, "parent_id", "left")
-    return held.select(F.when(F.col("_d"), F.col("parent_id")).otherwise(F.col("id")).alias("id"), F.coalesce("_d", F.lit(False)).alias("is_doc"), F.when(F.col("_d"), F.col("id")).alias("chunk_id"))
-
-
-def ttl_refresh(spark, root):
-    after = mutate.refresh(snapshot(spark, root), _hits(spark, root), CFG, NOW)
-    return after.records.select("id", F.round("expires_at", 3).alias("expires_at"), F.col("access_count").cast("bigint").alias("access_count"))
-
-
-def ttl_refresh_guards(spark, root):
-    after = mutate.refresh(snapshot(spark, root), _hits(spark, root), CFG, NOW)
-    return after.guards.select("guard_key", "record_id", F.round("expires_at", 3).alias("expires_at"))
-
-
-def _search_hits(spark, root):
-    """The normal results of every search that refresh takes: the top few of each."""
+def _refreshed(spark, root):
+    """The snapshot after all searches, at one clock, with the first normal results of each refreshed."""
     found = search.search(lying(spark, root), bodies(spark, root), asked(spark, root), CFG)
-    hits = found.where(~F.col("weak") & (F.col("rank") <= CFG.ttl_refresh_top_k)).select("query_id", "id", "is_doc", "chunk_id")
-    return materialize(hits, "hits")  # refresh reads them several times
+    hits = materialize(found.select("query_id", "rank", "weak", "id", "is_doc", "chunk_id"), "hits")  # refresh reads them several times
+    return mutate.refresh(snapshot(spark, root), hits, CFG, NOW)
 
 
-def ttl_refresh_all(spark, root):
-    after = mutate.refresh(snapshot(spark, root), _search_hits(spark, root), CFG, NOW)
+def ttl_refresh(spark, root):
+    after = _refreshed(spark, root)
     kept = [F.round("expires_at", 3).alias("expires_at")]
     records = after.records.select("id", F.lit(False).alias("is_doc"), *kept, F.col("access_count").cast("bigint").alias("access_count"))
     return records.unionByName(after.documents.select("id", F.lit(True).alias("is_doc"), *kept, F.lit(None).cast("bigint").alias("access_count")))
 
 
-def ttl_refresh_guards_all(spark, root):
-    after = mutate.refresh(snapshot(spark, root), _search_hits(spark, root), CFG, NOW)
-    return after.guards.select("guard_key", "record_id", F.round("expires_at", 3).alias("expires_at"))
+def ttl_refresh_guards(spark, root):
+    return _refreshed(spark, root).guards.select("guard_key", "record_id", F.round("expires_at", 3).alias("expires_at"))
+
+
+def repaired_vectors(spark, root):
+    """The vectors that a repair gives, place by place."""
+    after, _ = mutate.repair(snapshot(spark, root), T.hashed_vector, CFG, NOW)
+    lacking = mutate.missing_vectors(store.living(rec(spark, root), NOW), CFG).select("id")
+    new = after.records.where(F.col("embedding").isNotNull()).join(lacking, "id", "left_semi")
+    rows = new.select("id", F.posexplode("embedding").alias("place", "x"))
+    return rows.select("id", F.col("place").cast("bigint").alias("place"), F.round(F.col("x").cast("double"), 4).alias("x"))
 
 
 def repair_counts(spark, root):
-    return mutate.repair(snapshot(spark, root), T.hashed_vector, CFG)[1]
+    return mutate.repair(snapshot(spark, root), T.hashed_vector, CFG, NOW)[1]
 
 
 # ---- listing, recall, deletion
 
 
 def list_newest(spark, root):
-    return views.list_newest(rec(spark, root), doc(spark, root), 20, CFG).select("id", "is_doc")
+    return views.list_newest(rec(spark, root), doc(spark, root), 20, CFG, NOW).select("id", "is_doc")
+
+
+def list_preview(spark, root):
+    """The newest rows as they are shown."""
+    shown = views.preview(views.list_newest(rec(spark, root), doc(spark, root), 20, CFG, NOW))
+    return shown.select("id", "is_doc", F.col("chunk_count").cast("bigint").alias("chunk_count"), "saved", F.md5("shown").alias("shown"))
 
 
 def recall_slice(spark, root):
     stored, docs = rec(spark, root), doc(spark, root)
-    first = stored.where((F.col("owner_id") == CFG.owner) & (F.coalesce("turn_id", F.lit("")) != "")).agg(F.min("turn_id").alias("t")).first()["t"]
-    rows = views.recall_thread(stored, docs, first or "", 2, 2, CFG)
+    first = store.living(stored, NOW).where((F.col("owner_id") == CFG.owner) & (F.coalesce("turn_id", F.lit("")) != "")).agg(F.min("turn_id").alias("t")).first()["t"]
+    rows = views.recall_thread(stored, docs, first or "", 2, 2, CFG, NOW)
     return rows.select("id", "is_doc", "is_hit")
 
 
 def orphan_chunks(spark, root):
-    docs = doc(spark, root).select(F.col("id").alias("parent_id"))
-    return rec(spark, root).where("parent_id <> ''").join(docs, "parent_id", "left_anti").select("id", "parent_id")
+    """Live pieces whose document has expired or is gone."""
+    now = mutate.expire(snapshot(spark, root), NOW)
+    docs = now.documents.select(F.col("id").alias("parent_id"))
+    return now.records.where("parent_id <> ''").join(docs, "parent_id", "left_anti").select("id", "parent_id")
 
 
 def guard_lookup(spark, root):
-    """Standalone records whose text is guarded by a live guard."""
+    """Standalone records and documents whose text is guarded by a live guard."""
     own = text_guard(spark, root).join(guards(spark, root).where(store.live(F.col("expires_at"), NOW)), "guard_key")
     return own.select("id", "record_id")
 
 
 def _doomed(spark, root):
-    """Every record and document whose id is divisible by 100 (by its last hex digits)."""
-    ids = rec(spark, root, "content").select("id").unionByName(doc(spark, root).select("id"))
-    return ids.where(F.conv(F.substring("id", -6, 6), 16, 10).cast("bigint") % 100 == 0)
+    """Every record and document: another owner's are not found."""
+    return rec(spark, root, "content").select("id").unionByName(doc(spark, root).select("id"))
 
 
 def delete_cascade(spark, root):
-    _, report = mutate.delete(snapshot(spark, root), _doomed(spark, root), CFG)
+    _, report = mutate.delete(snapshot(spark, root), _doomed(spark, root), CFG, NOW)
     return report
 
 
 def delete_remaining(spark, root):
-    after, _ = mutate.delete(snapshot(spark, root), _doomed(spark, root), CFG)
+    after, _ = mutate.delete(snapshot(spark, root), _doomed(spark, root), CFG, NOW)
     return after.records.agg(F.count("*").alias("n")).select(F.lit("records").alias("kind"), "n").unionByName(
         after.documents.agg(F.count("*").alias("n")).select(F.lit("documents").alias("kind"), "n")
     ).unionByName(after.guards.agg(F.count("*").alias("n")).select(F.lit("guards").alias("kind"), "n"))
@@ -348,7 +366,7 @@ def delete_remaining(spark, root):
 
 def delete_session_counts(spark, root):
     sessions = rec(spark, root).where(F.col("owner_id") == CFG.owner).select("session_id").distinct()
-    _, report = mutate.delete_session(snapshot(spark, root), sessions, CFG)
+    _, report = mutate.delete_session(snapshot(spark, root), sessions, CFG, NOW)
     return report
 
 
@@ -360,6 +378,16 @@ def turn_handoff(spark, root):
     return views.turn_handoff(rec(spark, root))
 
 
+def transcript_replies(spark, root):
+    """The last reply of every session, its messages told as the lines of a transcript."""
+    rows = rec(spark, root, "content", "session_id", "timestamp_epoch").where((F.coalesce("session_id", F.lit("")) != "") & F.col("content").rlike(T.MESSAGE_PREFIX))
+    role = F.regexp_extract("content", T.MESSAGE_PREFIX, 1)
+    kind = F.when(role == "user", F.lit("user")).otherwise(F.lit("assistant"))
+    line = F.to_json(F.struct(kind.alias("type"), F.struct(F.regexp_replace("content", T.MESSAGE_PREFIX, "").alias("content")).alias("message")))
+    lines = numbered(rows.select(F.col("session_id").alias("path"), "timestamp_epoch", "id", line.alias("line")), ["path"], ["timestamp_epoch", "id"], "line_no")
+    return transcripts.last_replies(lines).select(F.col("path").alias("session_id"), F.md5("reply").alias("reply"))
+
+
 def session_counters(spark, root):
     rows = rec(spark, root, "session_id", "timestamp_epoch").where(F.coalesce("session_id", F.lit("")) != "")
     return rows.groupBy("session_id").agg(F.count("*").alias("records"), F.countDistinct("parent_id").alias("parents"), F.round(F.min("timestamp_epoch"), 3).alias("since"))
@@ -367,9 +395,8 @@ def session_counters(spark, root):
 
 QUERIES = (
     text_purify, visible_filter, importance_clamp, role_prefix, text_guard, text_tokens, text_query_terms, text_ngrams, text_context_size, safe_session,
-    saved_times, saved_times_all, chunk_counts, query_vectors, ingest_statuses, ingest_counts, dedup_exact, knn_topk, bm25_topk, knn_owner_postfilter, hybrid_fuse,
-    keyword_relevance, fused_score, search_full, search_counts, render_rows, render_rows_all, render_blocks, record_neighbours, record_neighbours_all, ttl_expired, time_window, ttl_refresh, ttl_refresh_guards,
-    ttl_refresh_all, ttl_refresh_guards_all,
-    repair_counts, list_newest, recall_slice, orphan_chunks, guard_lookup, delete_cascade, delete_remaining, delete_session_counts, previous_reply,
-    turn_handoff, session_counters,
+    saved_times, time_bounds, text_parts, chunk_counts, query_vectors, ingest_statuses, ingest_without_code, ingest_records, ingest_documents, ingest_counts, dedup_exact,
+    knn_topk, bm25_topk, knn_owner_postfilter, hybrid_fuse, keyword_relevance, fused_score, search_full, search_counts, render_rows, render_blocks, record_neighbours,
+    ttl_expired, time_window, ttl_refresh, ttl_refresh_guards, repair_counts, repaired_vectors, list_newest, list_preview, recall_slice, orphan_chunks, guard_lookup,
+    delete_cascade, delete_remaining, delete_session_counts, previous_reply, turn_handoff, transcript_replies, session_counters,
 )

@@ -10,7 +10,7 @@ import unicodedata
 
 from loamstone.functions.text import CJK, INVISIBLE, SIGNS, SPACES
 from loamstone.operators.render import BETWEEN, CUT_LINE, LEAST_ROWS, NO_HITS, VERSION_LINE, WEAK_HEADING
-from loamstone.plans.catalogue import CFG, NOW
+from loamstone.plans.catalogue import CFG
 
 
 def quoted(text: str) -> str:
@@ -73,8 +73,11 @@ REC = """rec AS (
 DOC = """doc AS (
   SELECT * EXCLUDE (chunk_ids), coalesce(chunk_ids, []) AS chunk_ids FROM doc_records WHERE id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY timestamp_epoch) = 1)"""
-OWNER = quoted(CFG.owner)
+OWNER = quoted("own-8dab45165e")
+NOW = 1769500000.0
 LIVE = f"coalesce(expires_at > {NOW}, true)"
+LIVE_REC = f"{REC.replace('rec AS', 'held AS', 1)}, rec AS (SELECT * FROM held WHERE {LIVE})"
+LIVE_DOC = f"{DOC.replace('doc AS', 'whole AS', 1)}, doc AS (SELECT * FROM whole WHERE {LIVE})"
 PREFIX = "^\\[(user|claude)( [0-9]+/[0-9]+)?\\] "
 
 ASKED = f"""asked_ AS (
@@ -237,8 +240,8 @@ BLOCKS = f"""shown AS (
   SELECT a.query_id, coalesce(CASE WHEN c.fits THEN c.body ELSE regexp_replace(h.kept, '[{SPACES}]+\\z', '') || {_CUT} END, {quoted(NO_HITS)}) AS block
   FROM asked a LEFT JOIN chosen c USING (query_id) LEFT JOIN head h USING (query_id))"""
 
-CHUNKS = f"""RECURSIVE bodies AS (SELECT id, regexp_replace(content, '^\\[(user|claude)\\] ', '') AS t FROM doc WHERE content IS NOT NULL),
-cuts AS (
+BODIES = "bodies AS (SELECT id, regexp_replace(content, '^\\[(user|claude)\\] ', '') AS t FROM doc WHERE content IS NOT NULL)"
+CHUNKS = f"""cuts AS (
   SELECT id, t, 0 AS k, CAST(-1 AS BIGINT) AS a, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS nxt FROM bodies
   UNION ALL
   SELECT id, t, k + 1, nxt, e, CASE WHEN e >= length(t) THEN length(t) + 1 WHEN soft THEN e ELSE greatest(nxt + 1, e - {CFG.chunk_overlap}) END
@@ -254,28 +257,21 @@ cuts AS (
 ), spans AS (
   SELECT *, max(k) OVER (PARTITION BY id) AS last FROM cuts WHERE k > 0
 ), merged AS (
-  SELECT s.id, s.k, s.a, CASE WHEN s.k = s.last - 1 AND n.b - n.a < 20 THEN greatest(s.b, n.b) ELSE s.b END AS b
+  SELECT s.id, s.t, s.k, s.a, CASE WHEN s.k = s.last - 1 AND n.b - n.a < 20 THEN greatest(s.b, n.b) ELSE s.b END AS b
   FROM spans s LEFT JOIN spans n ON n.id = s.id AND n.k = s.k + 1 WHERE NOT (s.k = s.last AND s.last > 1 AND s.b - s.a < 20)
 )"""
 
-ANCHOR = f"SELECT id, timestamp_epoch, parent_id, access_count, expires_at FROM rec WHERE owner_id = {OWNER} AND timestamp_epoch < {NOW} ORDER BY timestamp_epoch DESC, id DESC LIMIT {CFG.ttl_refresh_top_k}"
-HITS = f"""anchor AS ({ANCHOR}),
-hits AS (SELECT coalesce(d.id, a.id) AS id, d.id IS NOT NULL AS is_doc, CASE WHEN d.id IS NOT NULL THEN a.id END AS chunk_id, a.id AS hit FROM anchor a LEFT JOIN doc d ON d.id = a.parent_id),
-keys AS (
-  SELECT id FROM hits WHERE NOT is_doc UNION SELECT chunk_id FROM hits WHERE is_doc
-  UNION SELECT unnest(d.chunk_ids) FROM doc d WHERE d.id IN (SELECT id FROM hits WHERE is_doc)
-), counted AS (SELECT hit AS id, count(*) AS n FROM hits GROUP BY ALL)"""
-
 # A search's rows keep the place of the candidate they came from, which names the piece that hit.
-SEARCH_HITS = f"""hits AS (
+# What has expired by then is neither refreshed nor kept.
+SEARCH_HITS = f"""lrec AS (SELECT * FROM rec WHERE {LIVE}), ldoc AS (SELECT * FROM doc WHERE {LIVE}), hits AS (
   SELECT n.query_id, n.id, n.is_doc, CASE WHEN n.is_doc THEN f.id END AS chunk_id, f.id AS hit
   FROM normal n JOIN fused f ON f.query_id = n.query_id AND f.place = n.place WHERE n.rank <= {CFG.ttl_refresh_top_k}
 ), keys AS (
-  SELECT hit AS id FROM hits UNION SELECT unnest(d.chunk_ids) FROM doc d WHERE d.id IN (SELECT id FROM hits WHERE is_doc)
+  SELECT hit AS id FROM hits UNION SELECT unnest(d.chunk_ids) FROM ldoc d WHERE d.id IN (SELECT id FROM hits WHERE is_doc)
 ), counted AS (SELECT hit AS id, count(*) AS n FROM hits GROUP BY ALL)"""
 
 JUDGED = f"""calls0 AS (
-  SELECT arrival, {strip("coalesce(content, '')")} AS c, CASE WHEN importance IS NULL THEN 1.0 ELSE try_cast({strip('importance')} AS DOUBLE) END AS imp, coalesce(owner_id, '') AS owner,
+  SELECT arrival, coalesce(agent_name, '') AS agent, CASE WHEN coalesce({strip('session_id')}, '') <> '' THEN session_id ELSE '' END AS session, {strip("coalesce(content, '')")} AS c, CASE WHEN importance IS NULL THEN 1.0 ELSE try_cast({strip('importance')} AS DOUBLE) END AS imp, coalesce(owner_id, '') AS owner,
          CASE WHEN role IN ('user', 'claude') THEN role END AS role, coalesce(turn_id, '') AS turn FROM incoming
 ), calls1 AS (
   SELECT *, {purify('c')} AS body,
@@ -285,10 +281,11 @@ JUDGED = f"""calls0 AS (
 ), calls2 AS (SELECT *, CASE WHEN role IS NULL THEN body ELSE '[' || role || '] ' || body END AS stored, length(body) > {CFG.chunk_threshold} AS is_doc FROM calls1),
 calls3 AS (SELECT *, CASE WHEN st IS NULL THEN {guard('stored', "CASE WHEN role IS NULL THEN '' ELSE turn END", 'is_doc')} END AS guard_key FROM calls2),
 judged AS (
-  SELECT c.arrival, c.guard_key, coalesce(c.st, CASE WHEN g.guard_key IS NOT NULL OR c.arrival > min(c.arrival) OVER (PARTITION BY c.guard_key) THEN 'duplicate' ELSE 'saved' END) AS status
-  FROM calls3 c LEFT JOIN (SELECT guard_key FROM guards WHERE {LIVE}) g ON g.guard_key = c.guard_key)"""
+  SELECT c.*, g.record_id, coalesce(c.st, CASE WHEN g.guard_key IS NOT NULL OR c.arrival > min(c.arrival) OVER (PARTITION BY c.guard_key) THEN 'duplicate' ELSE 'saved' END) AS status
+  FROM calls3 c LEFT JOIN (SELECT guard_key, record_id FROM guards WHERE {LIVE}) g ON g.guard_key = c.guard_key)"""
+NO_CODE = JUDGED.replace("'error: invisible' END", "'error: invisible' WHEN contains(c, '```') THEN 'skipped_code' END")
 
-DOOMED = f"""doomed AS (SELECT DISTINCT id FROM (SELECT id FROM rec UNION ALL SELECT id FROM doc) WHERE CAST('0x' || right(id, 6) AS BIGINT) % 100 = 0),
+DOOMED = f"""doomed AS (SELECT id FROM held UNION SELECT id FROM whole),
 ddoc AS (SELECT * FROM doc WHERE owner_id = {OWNER} AND id IN (SELECT id FROM doomed)),
 dpiece AS (
   SELECT id AS doc, unnest(chunk_ids) AS id FROM ddoc WHERE len(chunk_ids) > 0
@@ -307,7 +304,12 @@ edge AS (SELECT min(rn) AS a, max(rn) AS b FROM placed WHERE is_hit)"""
 MESSAGES = f"messages AS (SELECT id, session_id, turn_id, timestamp_epoch, regexp_extract(content, '{PREFIX}', 1) AS role FROM rec WHERE coalesce(session_id, '') <> '' AND regexp_matches(content, '{PREFIX}'))"
 BEFORE = "OVER (PARTITION BY session_id ORDER BY timestamp_epoch NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
-SESSION = f"""sess AS (SELECT DISTINCT session_id FROM rec WHERE owner_id = {OWNER} AND {strip('session_id')} <> ''),
+SAVED_CALLS = f"""saved AS (
+  SELECT *, printf('%012X', arrival) || '-' || left(sha1(stored), 12) AS id, greatest(0.5, least(2.0, imp)) AS weight FROM judged WHERE status = 'saved'
+), bodies AS (SELECT id, body AS t FROM saved WHERE is_doc)"""
+PIECES = """pieces AS (SELECT id, k - 1 AS no, id || '-' || printf('%05d', k) AS piece, substr(t, a + 1, b - a) AS text, count(*) OVER (PARTITION BY id) AS n FROM merged)"""
+
+SESSION = f"""sess AS (SELECT DISTINCT session_id FROM held WHERE owner_id = {OWNER} AND {strip('session_id')} <> ''),
 own AS (SELECT * FROM rec WHERE owner_id = {OWNER}),
 sdoc AS (SELECT * FROM doc WHERE owner_id = {OWNER} AND session_id IN (SELECT session_id FROM sess)),
 spiece AS (
@@ -334,17 +336,36 @@ def oracle_sql() -> dict[str, str]:
         "importance_clamp": f"""SELECT arrival, CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN NULL ELSE round(greatest(0.5, least(2.0, x)), 6) END AS clamped
             FROM (SELECT arrival, try_cast({strip('importance')} AS DOUBLE) AS x FROM incoming)""",
         "role_prefix": f"SELECT arrival, md5(CASE WHEN role IN ('user', 'claude') THEN '[' || role || '] ' || {purify('content')} ELSE {purify('content')} END) AS stored FROM incoming",
-        "text_guard": f"WITH {REC} SELECT id, {guard('content', 'turn_id', 'false')} AS guard_key FROM rec WHERE parent_id = ''",
+        "text_guard": f"WITH {REC}, {DOC} SELECT id, {guard('content', 'turn_id', 'false')} AS guard_key FROM rec WHERE parent_id = '' UNION ALL SELECT id, {guard('content', 'turn_id', 'true')} FROM doc",
         "text_tokens": f"WITH {REC}, n AS (SELECT id, {nfkc('content')} AS n FROM rec) SELECT id, array_to_string({tokens('n')}, ' ') AS tokens FROM n",
         "text_query_terms": f"WITH {ASKED} SELECT query_id, array_to_string(list_sort(terms), ' ') AS terms, len(terms) AS n FROM asked",
         "text_ngrams": f"WITH {REC}, n AS (SELECT id, {nfkc('content')} AS n FROM rec) SELECT id, array_to_string(list_transform({ngrams('n')}, lambda t: lower(t)), ' ') AS ngrams FROM n",
         "text_context_size": f"""WITH {REC} SELECT id, length(content) + length(regexp_replace(content, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))
             + length(content) - length(replace(content, chr(10), '')) AS size FROM rec""",
         "safe_session": f"WITH {REC} SELECT id, substr(regexp_replace(session_id, '[^a-zA-Z0-9_-]', '_', 'g'), 1, 64) AS safe FROM rec",
-        "saved_times": f"WITH {REC} SELECT id, strftime(make_timestamp(CAST(floor(timestamp_epoch) * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M') || ' (UTC+0000)' AS saved FROM rec WHERE timestamp_epoch < 1e11",
-        "chunk_counts": f"WITH {CHUNKS.replace('RECURSIVE bodies', 'RECURSIVE ' + DOC + ', bodies', 1)} SELECT id, count(*) AS pieces, string_agg(a || '-' || b, ' ' ORDER BY k) AS spans FROM merged GROUP BY id",
+        "saved_times": f"WITH {REC} SELECT id, {SAVED} AS saved FROM rec",
+        "time_bounds": f"""WITH {REC}, x AS (SELECT id, timestamp AS t, epoch_us(CAST(timestamp AS TIMESTAMPTZ)) / 1e6 AS e, epoch(CAST(left(timestamp, 10) AS DATE)) AS d FROM rec),
+            forms AS (
+              SELECT id, 'iso' AS form, e AS a, e AS b, t AS told FROM x UNION ALL SELECT id, 'spaced', e, e, replace(t, 'T', ' ') FROM x
+              UNION ALL SELECT id, 'day', d, d + 86399.999999, left(t, 10) FROM x
+              UNION ALL SELECT id, 'slashed', NULL, NULL, replace(left(t, 10), '-', '/') FROM x UNION ALL SELECT id, 'month', NULL, NULL, '2026-13-' || substr(t, 9, 2) FROM x)
+            SELECT id, form, round(a, 3) AS since, round(b, 3) AS until, CASE WHEN told IS NULL THEN NULL
+              WHEN a IS NULL THEN 'Error: since must be an ISO 8601 date or datetime (got ' || chr(39) || told || chr(39) || ')' WHEN a > 1769990399.999999 THEN 'Error: since is later than until' END AS error
+            FROM forms""",
+        "text_parts": "SELECT arrival, md5(content || chr(10) || role) AS text, md5(content) AS plain FROM incoming WHERE content IS NOT NULL AND role IS NOT NULL",
+        "chunk_counts": f"WITH RECURSIVE {DOC}, {BODIES}, {CHUNKS} SELECT id, count(*) AS pieces, string_agg(a || '-' || b, ' ' ORDER BY k) AS spans FROM merged GROUP BY id",
         "query_vectors": f"WITH {ASKED}, {VECTORS} SELECT query_id, CAST(i AS BIGINT) AS place, round(qvec[i + 1], 6) AS x FROM qvec CROSS JOIN (SELECT unnest(range(16)) AS i)",
-        "ingest_statuses": f"WITH {JUDGED} SELECT arrival, status, guard_key FROM judged",
+        "ingest_statuses": f"WITH {JUDGED} SELECT arrival, status, guard_key, CASE WHEN status = 'duplicate' THEN record_id END AS existing_id FROM judged",
+        "ingest_without_code": f"WITH {NO_CODE} SELECT arrival, status FROM judged",
+        "ingest_records": f"""WITH RECURSIVE {JUDGED}, {SAVED_CALLS}, {CHUNKS}, {PIECES}, texts AS (
+            SELECT id, '' AS parent_id, stored AS content, agent, session, turn, weight FROM saved WHERE NOT is_doc
+            UNION ALL SELECT p.piece, p.id, CASE WHEN s.role IS NULL THEN p.text WHEN p.n > 1 THEN '[' || s.role || ' ' || (p.no + 1) || '/' || p.n || '] ' || p.text ELSE '[' || s.role || '] ' || p.text END,
+              s.agent, s.session, s.turn, s.weight FROM pieces p JOIN saved s ON s.id = p.id)
+            SELECT id, parent_id, agent AS agent_name, session AS session_id, turn AS turn_id, '2026-01-27T07:46:40.000000+00:00' AS timestamp, 0 AS access_count, md5(content) AS content,
+              round(weight, 6) AS importance, {NOW} + 604800.0 AS expires_at FROM texts""",
+        "ingest_documents": f"""WITH RECURSIVE {JUDGED}, {SAVED_CALLS}, {CHUNKS}, {PIECES}
+            SELECT s.id, md5(any_value(s.stored)) AS content, count(*) AS chunk_count, string_agg(p.piece, ' ' ORDER BY p.no) AS chunk_ids, {NOW} + 604800.0 AS expires_at
+            FROM saved s JOIN pieces p ON p.id = s.id GROUP BY s.id""",
         "ingest_counts": f"WITH {JUDGED} SELECT status, count(*) AS calls FROM judged GROUP BY status",
         "dedup_exact": f"WITH {REC} SELECT min(id) AS id, count(*) AS copies FROM rec WHERE parent_id = '' GROUP BY sha1({nfkc('content')})",
         "knn_topk": f"{near} SELECT query_id, leg_rank, id, round(score, 6) AS score FROM knn",
@@ -355,53 +376,50 @@ def oracle_sql() -> dict[str, str]:
         "fused_score": f"{cands}, x AS ({_scored('cand', 'coalesce(real_cos, 0.0)')}) SELECT query_id, id, round(fs0, 6) AS filter_score, round(s0, 6) AS score FROM x",
         "search_full": f"{full} SELECT * FROM results",
         "search_counts": f"{full} SELECT query_id, count(*) FILTER (NOT weak) AS normal, count(*) FILTER (weak) AS weak, count(*) FILTER (is_doc) AS documents FROM results GROUP BY query_id",
-        "render_rows": f"""WITH {REC} SELECT id, md5('### [' || id || ']' || CASE WHEN coalesce(turn_id, '') <> '' THEN ' turn=' || turn_id ELSE '' END || ' score=0.500 saved='
-            || strftime(make_timestamp(CAST(floor(timestamp_epoch) * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M') || ' (UTC+0000)' || chr(10) || {purify("coalesce(content, '')")}) AS line
-            FROM rec WHERE owner_id = {OWNER} AND timestamp_epoch < 1e11""",
-        "record_neighbours": f"""WITH {REC}, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rec WHERE owner_id = {OWNER} AND embedding IS NOT NULL),
-            n AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a, v b WHERE CAST('0x' || right(a.id, 6) AS BIGINT) % 100 = 0)
-            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS leg_rank, id, round(s, 6) AS score FROM n QUALIFY leg_rank <= 20""",
-        "saved_times_all": f"WITH {REC} SELECT id, {SAVED} AS saved FROM rec",
-        "render_rows_all": f"""WITH {REC}, {DOC}, rows_ AS (SELECT id, content, turn_id, timestamp_epoch, false AS is_doc, 0 AS chunk_count FROM rec
+        "render_rows": f"""WITH {REC}, {DOC}, rows_ AS (SELECT id, content, turn_id, timestamp_epoch, false AS is_doc, 0 AS chunk_count FROM rec
             UNION ALL SELECT id, content, turn_id, timestamp_epoch, true, chunk_count FROM doc) SELECT id, is_doc, md5({_line("'0.500'")}) AS line FROM rows_""",
         "render_blocks": f"{full}, {BLOCKS} SELECT query_id, {_size('block')} AS size, md5(block) AS block FROM blocks",
-        "record_neighbours_all": f"""WITH {REC}, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rec WHERE embedding IS NOT NULL),
+        "record_neighbours": f"""WITH {REC}, v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM rec WHERE embedding IS NOT NULL),
             n AS (SELECT a.id AS query_id, b.id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM v a, v b WHERE CAST('0x' || right(a.id, 6) AS BIGINT) % 100 = 0)
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS leg_rank, id, round(s, 6) AS score FROM n QUALIFY leg_rank <= 20""",
         "ttl_expired": f"WITH {REC} SELECT id FROM rec WHERE NOT {LIVE}",
         "time_window": f"WITH {REC} SELECT id, round(pow(2.0, -greatest(0.0, ({NOW} - timestamp_epoch) / 86400.0) / {CFG.half_life_days}), 6) AS decay FROM rec WHERE timestamp_epoch BETWEEN {NOW - 86400} AND {NOW}",
-        "ttl_refresh": f"""WITH {REC}, {DOC}, {HITS} SELECT r.id, round(CASE WHEN r.id IN (SELECT id FROM keys) THEN {NOW + CFG.ttl_seconds} ELSE r.expires_at END, 3) AS expires_at,
-            coalesce(r.access_count, 0) + coalesce(c.n, 0) AS access_count FROM rec r LEFT JOIN counted c ON c.id = r.id""",
-        "ttl_refresh_guards": f"""WITH {REC}, {DOC}, {HITS}, renewed AS (
-            SELECT {guard('content', 'turn_id', 'true')} AS guard_key, id FROM doc WHERE id IN (SELECT id FROM hits WHERE is_doc)
-            UNION ALL SELECT {guard('content', 'turn_id', 'false')}, id FROM rec WHERE parent_id = '' AND id IN (SELECT id FROM hits WHERE NOT is_doc))
-            SELECT guard_key, record_id, round(expires_at, 3) AS expires_at FROM guards WHERE guard_key NOT IN (SELECT guard_key FROM renewed)
-            UNION ALL SELECT guard_key, min(id), {NOW + CFG.ttl_seconds} FROM renewed GROUP BY guard_key""",
-        "ttl_refresh_all": f"""{full}, {SEARCH_HITS} SELECT r.id, false AS is_doc, round(CASE WHEN r.id IN (SELECT id FROM keys) THEN {NOW + CFG.ttl_seconds} ELSE r.expires_at END, 3) AS expires_at,
-            coalesce(r.access_count, 0) + coalesce(c.n, 0) AS access_count FROM rec r LEFT JOIN counted c ON c.id = r.id
-            UNION ALL SELECT id, true, round(CASE WHEN id IN (SELECT id FROM hits WHERE is_doc) THEN {NOW + CFG.ttl_seconds} ELSE expires_at END, 3), NULL FROM doc""",
-        "ttl_refresh_guards_all": f"""{full}, {SEARCH_HITS}, renewed AS (
-            SELECT {guard('content', 'turn_id', 'true')} AS guard_key, id FROM doc WHERE id IN (SELECT id FROM hits WHERE is_doc)
-            UNION ALL SELECT {guard('content', 'turn_id', 'false')}, id FROM rec WHERE parent_id = '' AND id IN (SELECT id FROM hits WHERE NOT is_doc))
-            SELECT guard_key, record_id, round(expires_at, 3) AS expires_at FROM guards WHERE guard_key NOT IN (SELECT guard_key FROM renewed)
+        "ttl_refresh": f"""{full}, {SEARCH_HITS} SELECT r.id, false AS is_doc, round(CASE WHEN r.id IN (SELECT id FROM keys) THEN {NOW + CFG.ttl_seconds} ELSE r.expires_at END, 3) AS expires_at,
+            coalesce(r.access_count, 0) + coalesce(c.n, 0) AS access_count FROM lrec r LEFT JOIN counted c ON c.id = r.id
+            UNION ALL SELECT id, true, round(CASE WHEN id IN (SELECT id FROM hits WHERE is_doc) THEN {NOW + CFG.ttl_seconds} ELSE expires_at END, 3), NULL FROM ldoc""",
+        "ttl_refresh_guards": f"""{full}, {SEARCH_HITS}, renewed AS (
+            SELECT {guard('content', 'turn_id', 'true')} AS guard_key, id FROM ldoc WHERE id IN (SELECT id FROM hits WHERE is_doc)
+            UNION ALL SELECT {guard('content', 'turn_id', 'false')}, id FROM lrec WHERE parent_id = '' AND id IN (SELECT id FROM hits WHERE NOT is_doc))
+            SELECT guard_key, record_id, round(expires_at, 3) AS expires_at FROM guards WHERE {LIVE} AND guard_key NOT IN (SELECT guard_key FROM renewed)
             UNION ALL SELECT guard_key, min(id), {NOW + CFG.ttl_seconds} FROM renewed GROUP BY guard_key""",
-        "repair_counts": f"""WITH {REC}, n AS (SELECT count(*) AS n FROM rec WHERE owner_id = {OWNER} AND embedding IS NULL AND content IS NOT NULL)
+        "repair_counts": f"""WITH {LIVE_REC}, n AS (SELECT count(*) AS n FROM rec WHERE owner_id = {OWNER} AND embedding IS NULL AND content IS NOT NULL)
             SELECT least(n, {CFG.repair_batch}) AS reembedded, greatest(n - {CFG.repair_batch}, 0) AS remaining FROM n""",
-        "list_newest": f"""WITH {REC}, {DOC}, both_ AS (
+        "repaired_vectors": f"""WITH {LIVE_REC}, asked AS (SELECT id AS query_id, {nfkc('content')} AS n_, content AS normal FROM rec WHERE owner_id = {OWNER} AND embedding IS NULL AND content IS NOT NULL ORDER BY id LIMIT {CFG.repair_batch}), {VECTORS}
+            SELECT query_id AS id, CAST(i AS BIGINT) AS place, round(CAST(CAST(qvec[i + 1] AS FLOAT) AS DOUBLE), 4) AS x FROM qvec CROSS JOIN (SELECT unnest(range(16)) AS i)""",
+        "list_newest": f"""WITH {LIVE_REC}, {LIVE_DOC}, both_ AS (
             (SELECT id, timestamp, false AS is_doc FROM rec WHERE owner_id = {OWNER} AND parent_id = '' ORDER BY timestamp_epoch DESC NULLS LAST, id DESC LIMIT 20)
             UNION ALL (SELECT id, timestamp, true FROM doc WHERE owner_id = {OWNER} AND content IS NOT NULL ORDER BY timestamp DESC NULLS LAST, id DESC LIMIT 20))
             SELECT id, is_doc FROM both_ ORDER BY coalesce(timestamp, '') DESC, is_doc, id DESC LIMIT 20""",
-        "recall_slice": f"WITH {REC}, {DOC}, {RECALL} SELECT id, is_doc, is_hit FROM placed, edge WHERE rn BETWEEN a - 2 AND b + 2",
-        "orphan_chunks": f"WITH {REC}, {DOC} SELECT id, parent_id FROM rec WHERE parent_id <> '' AND parent_id NOT IN (SELECT id FROM doc)",
-        "guard_lookup": f"WITH {REC} SELECT r.id, g.record_id FROM rec r JOIN guards g ON g.guard_key = {guard('r.content', 'r.turn_id', 'false')} WHERE r.parent_id = '' AND coalesce(g.expires_at > {NOW}, true)",
-        "delete_cascade": f"""WITH {REC}, {DOC}, {DOOMED} SELECT d.id, CASE WHEN d.id IN (SELECT id FROM ddoc) OR d.id IN (SELECT id FROM dsingle) THEN 'deleted' ELSE 'not_found' END AS status,
+        "list_preview": f"""WITH {LIVE_REC}, {LIVE_DOC}, both_ AS (
+            (SELECT id, timestamp, false AS is_doc, content, 0 AS chunk_count FROM rec WHERE owner_id = {OWNER} AND parent_id = '' ORDER BY timestamp_epoch DESC NULLS LAST, id DESC LIMIT 20)
+            UNION ALL (SELECT id, timestamp, true, content, coalesce(chunk_count, 0) FROM doc WHERE owner_id = {OWNER} AND content IS NOT NULL ORDER BY timestamp DESC NULLS LAST, id DESC LIMIT 20)),
+            shown AS (SELECT *, {purify("coalesce(content, '')")} AS body FROM both_ ORDER BY coalesce(timestamp, '') DESC, is_doc, id DESC LIMIT 20)
+            SELECT id, is_doc, chunk_count, left(coalesce(timestamp, ''), 19) AS saved, md5(CASE WHEN is_doc AND length(body) > 200 THEN left(body, 200) || '…' ELSE body END) AS shown FROM shown""",
+        "recall_slice": f"WITH {LIVE_REC}, {LIVE_DOC}, {RECALL} SELECT id, is_doc, is_hit FROM placed, edge WHERE rn BETWEEN a - 2 AND b + 2",
+        "orphan_chunks": f"WITH {LIVE_REC}, {LIVE_DOC} SELECT id, parent_id FROM rec WHERE parent_id <> '' AND parent_id NOT IN (SELECT id FROM doc)",
+        "guard_lookup": f"""WITH {REC}, {DOC}, own AS (SELECT id, {guard('content', 'turn_id', 'false')} AS guard_key FROM rec WHERE parent_id = '' UNION ALL SELECT id, {guard('content', 'turn_id', 'true')} FROM doc)
+            SELECT o.id, g.record_id FROM own o JOIN guards g USING (guard_key) WHERE coalesce(g.expires_at > {NOW}, true)""",
+        "delete_cascade": f"""WITH {LIVE_REC}, {LIVE_DOC}, {DOOMED} SELECT d.id, CASE WHEN d.id IN (SELECT id FROM ddoc) OR d.id IN (SELECT id FROM dsingle) THEN 'deleted' ELSE 'not_found' END AS status,
             (SELECT count(*) FROM dpiece p WHERE p.doc = d.id AND p.id IN (SELECT id FROM rec)) AS chunks FROM doomed d""",
-        "delete_remaining": f"""WITH {REC}, {DOC}, {DOOMED} SELECT 'records' AS kind, (SELECT count(*) FROM rec WHERE id NOT IN (SELECT id FROM dpiece) AND id NOT IN (SELECT id FROM dsingle)) AS n
+        "delete_remaining": f"""WITH {LIVE_REC}, {LIVE_DOC}, {DOOMED} SELECT 'records' AS kind, (SELECT count(*) FROM rec WHERE id NOT IN (SELECT id FROM dpiece) AND id NOT IN (SELECT id FROM dsingle)) AS n
             UNION ALL SELECT 'documents', (SELECT count(*) FROM doc WHERE id NOT IN (SELECT id FROM ddoc))
-            UNION ALL SELECT 'guards', (SELECT count(*) FROM guards g WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.guard_key = g.guard_key AND (coalesce(g.record_id, '') = '' OR g.record_id = d.id)))""",
-        "delete_session_counts": f"""WITH {REC}, {DOC}, {SESSION} SELECT s.session_id, count(*) FILTER (k = 'd') AS documents_deleted, count(*) FILTER (k = 'c') AS chunks_deleted,
+            UNION ALL SELECT 'guards', (SELECT count(*) FROM guards g WHERE {LIVE} AND NOT EXISTS (SELECT 1 FROM dead d WHERE d.guard_key = g.guard_key AND (coalesce(g.record_id, '') = '' OR g.record_id = d.id)))""",
+        "delete_session_counts": f"""WITH {LIVE_REC}, {LIVE_DOC}, {SESSION} SELECT s.session_id, count(*) FILTER (k = 'd') AS documents_deleted, count(*) FILTER (k = 'c') AS chunks_deleted,
             count(*) FILTER (k = 's') AS singles_deleted, count(k) AS deleted FROM sess s LEFT JOIN cnt USING (session_id) GROUP BY s.session_id""",
         "previous_reply": f"WITH {REC}, {MESSAGES}, x AS (SELECT *, last_value(CASE WHEN role = 'claude' THEN id END IGNORE NULLS) {BEFORE} AS reply_id FROM messages) SELECT id, session_id, reply_id FROM x WHERE role = 'user'",
         "turn_handoff": f"WITH {REC}, {MESSAGES}, x AS (SELECT *, last_value(CASE WHEN role = 'user' THEN turn_id END IGNORE NULLS) {BEFORE} AS prompt_turn FROM messages) SELECT id, turn_id AS own_turn, prompt_turn FROM x WHERE role = 'claude'",
+        "transcript_replies": f"""WITH {REC}, {MESSAGES}, x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY timestamp_epoch NULLS FIRST, id) AS n FROM messages),
+            y AS (SELECT x.*, regexp_replace(r.content, '{PREFIX}', '') AS body, max(CASE WHEN role = 'user' THEN n END) OVER (PARTITION BY x.session_id) AS stop FROM x JOIN rec r ON r.id = x.id)
+            SELECT session_id, md5(max_by(body, n) FILTER (role = 'claude' AND trim(body) <> '' AND n > coalesce(stop, 0))) AS reply FROM y GROUP BY session_id""",
         "session_counters": f"WITH {REC} SELECT session_id, count(*) AS records, count(DISTINCT parent_id) AS parents, round(min(timestamp_epoch), 3) AS since FROM rec WHERE coalesce(session_id, '') <> '' GROUP BY session_id",
     }

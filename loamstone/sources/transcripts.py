@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Prompts that no person wrote.
@@ -13,9 +12,13 @@ PARTS = "array<struct<type:string,text:string>>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no, line of every transcript under ``path``; a file is one partition, so its order is kept."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
+    """path, line_no, line of every transcript under ``path``.
+
+    Files are split and read line by line; a line's number is its place in the file (block, then line),
+    which grows along the file without being counted from its start.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("_row"))
+    return lines.where(F.trim("line") != "").select("path", F.struct("_block", "_row").alias("line_no"), "line")
 
 
 def last_replies(lines: DataFrame, current_prompt: str | None = None) -> DataFrame:
@@ -40,14 +43,13 @@ def last_replies(lines: DataFrame, current_prompt: str | None = None) -> DataFra
         system = system | F.col("user_text").startswith(start)
     is_prompt = (F.col("type") == "user") & ~F.col("meta") & F.col("user_text").isNotNull() & ~F.coalesce(system, F.lit(False))
     rows = rows.withColumn("prompt", F.coalesce(is_prompt, F.lit(False))).where((F.col("type") == "assistant") | F.col("prompt"))
-    newest = F.max("line_no").over(W.partitionBy("path"))
-    rows = rows.withColumn("_newest", newest)
     if current_prompt is not None:
-        rows = rows.where(~(F.col("prompt") & (F.col("line_no") == F.col("_newest")) & (F.trim("user_text") == F.lit(current_prompt.strip()))))
+        newest = rows.groupBy("path").agg(F.max("line_no").alias("_newest"))  # combined where the lines lie
+        rows = rows.join(newest, "path").where(~(F.col("prompt") & (F.col("line_no") == F.col("_newest")) & (F.trim("user_text") == F.lit(current_prompt.strip()))))
     per = rows.groupBy("path").agg(
         F.max(F.when(F.col("prompt"), F.col("line_no"))).alias("stop"), F.max(F.when(F.col("reply").isNotNull() & ~F.col("prompt"), F.struct("line_no", "reply"))).alias("best")
     )
-    return per.select("path", F.when(F.col("best.line_no") > F.coalesce("stop", F.lit(-1)), F.col("best.reply")).alias("reply"))
+    return per.select("path", F.when(F.col("stop").isNull() | (F.col("best.line_no") > F.col("stop")), F.col("best.reply")).alias("reply"))
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

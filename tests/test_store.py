@@ -6,10 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loamstone import scale
 from loamstone.config import EngineConfig
 from loamstone.functions import text as T
 from loamstone.operators import ingest, mutate, render, search, store, views
 from loamstone.operators.components import components
+
 from loamstone.sources import transcripts
 from loamstone.streaming import ingest as streaming
 
@@ -192,7 +194,7 @@ def test_streams(spark, tmp_path):
     def run():
         stream = spark.readStream.schema(schema).parquet(str(folder))
         q = streaming.save_batches(stream, str(tmp_path / "store"), CFG, lambda n: NOW + n, str(tmp_path / "cp"))
-        q.awaitTermination(120)
+        assert q.awaitTermination(120)
 
     run()
     held = spark.read.parquet(str(tmp_path / "store/statuses"))
@@ -209,16 +211,103 @@ def test_turn_stream_and_guards(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "e"))
     q = streaming.turns(stream).writeStream.format("memory").queryName("turns").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     got = {r["event_id"]: r["turn_id"] for r in spark.sql("SELECT * FROM turns").collect()}
     assert got == {1: "T1", 2: "T1", 3: "turn-3", 4: "turn-4"}
     timed = stream.withColumn("time", F.timestamp_seconds("at")).withColumn("content", F.lit("same"))
     first = streaming.first_per_guard(streaming.guarded(timed).select("guard_key", "time", "event_id"), "time", 60)
     q = first.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     assert spark.sql("SELECT * FROM firsts").count() == 4 - 1  # one guard within T1, one without a turn per role
 
 
+def test_turns_of_a_long_session_in_mixed_order(spark, tmp_path):
+    """More events of one session than an Arrow batch holds, out of order, and the stream ends."""
+    n = 12_500
+    rows = [("s", 2 * k, "user", f"T{k}", NOW + 2 * k) for k in range(n)] + [("s", 2 * k + 1, "claude", None, NOW + 2 * k + 1) for k in range(n)]
+    random.Random(1).shuffle(rows)
+    schema = "session_id string, event_id bigint, role string, turn_id string, at double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "e"))
+    q = streaming.turns(stream).writeStream.format("memory").queryName("long_turns").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {r["event_id"]: r["turn_id"] for r in spark.sql("SELECT * FROM long_turns").collect()}
+    assert got == {e: f"T{e // 2}" for e in range(2 * n)}
+
+
+def test_guards_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "COMPACT_EVERY", 2)
+    store_dir = str(tmp_path / "store")
+    schema = calls(spark, []).schema
+    for k in range(4):
+        calls(spark, [call(f"text {k}"), call("text 0")]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = streaming.save_batches(stream, store_dir, CFG, lambda n: NOW + n * CFG.ttl_seconds * 0.4, str(tmp_path / "cp"))
+        assert q.awaitTermination(120)
+    statuses = spark.read.parquet(store_dir + "/statuses")
+    # The guard of the first batch has expired by the fourth, so its text is saved again there.
+    assert sorted((r["batch"], r["status"]) for r in statuses.collect()) == [(0, "duplicate"), (0, "saved"), (1, "duplicate"), (1, "saved"), (2, "duplicate"), (2, "saved"), (3, "saved"), (3, "saved")]
+    assert streaming._batches(spark, store_dir + "/guards_compacted") == [1, 3]
+    assert streaming._known_guards(spark, store_dir, 4).count() == 4
+
+
+def test_expired_rows_are_gone(spark):
+    _, snap = saved(spark, [call("one"), call("two"), call("A sentence of the document. " * 30)])
+    after = NOW + CFG.ttl_seconds + 1
+    ids = snap.records.select("id")
+    assert {r["status"] for r in mutate.delete(snap, ids, CFG, after)[1].collect()} == {"not_found"}
+    hits = ids.select("id", F.lit(False).alias("is_doc"), F.lit(None).cast("string").alias("chunk_id"))
+    assert mutate.refresh(snap, hits, CFG, after).records.count() == 0
+    assert mutate.refresh(snap, hits, CFG, NOW + 1).records.where(F.col("expires_at") > NOW + CFG.ttl_seconds).count() == snap.records.count()
+    assert views.list_newest(snap.records, snap.documents, 9, CFG, after).count() == 0 and views.list_newest(snap.records, snap.documents, 9, CFG, NOW).count() == 3
+    assert mutate.repair(snap, T.hashed_vector, CFG, after)[1].first()["remaining"] == 0
+    ranked = hits.withColumn("rank", F.lit(6)).withColumn("weak", F.lit(False))
+    assert mutate.refresh(snap, ranked, CFG, NOW + 1).records.where(F.col("expires_at") > NOW + CFG.ttl_seconds).count() == 0
+
+
+def test_search_then_refresh(spark):
+    _, snap = saved(spark, [call("the harbor gate stays open"), call("nothing alike")])
+    cfg = CFG.with_(vector_min_cos=0.2, version_order_enabled=False)
+    queries = asked(spark, ("q", "harbor gate", 5, "s", None, None, NOW + 10))
+    found, after = mutate.search_then_refresh(snap, queries, cfg, NOW + 10)
+    hit = {r["id"] for r in found.where("not weak").collect()}
+    assert hit and {r["id"] for r in after.records.where("access_count = 1").collect()} == hit
+    assert mutate.search_then_refresh(snap, queries, cfg.with_(ttl_refresh_on_search=False), NOW + 10)[1] is snap
+
+
+def test_numbers_and_carried_values_of_a_hot_group(spark):
+    """A third of all rows in one group: no partition holds more than a share of them, and numbers run through."""
+    rows = [("hot" if k % 3 == 0 else f"g{k}", float((k * 7919) % 30000), k) for k in range(30000)]
+    df = spark.createDataFrame(rows, "g string, at double, k bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert scale.placed(df, ["g"], ["at", "k"]).groupBy("_part").count().agg(F.max("count")).first()[0] < 30000 / 4
+        got = {r["k"]: r["no"] for r in scale.numbered(df, ["g"], ["at", "k"], "no").where("g = 'hot'").collect()}
+        hot = sorted((at, k) for g, at, k in rows if g == "hot")
+        assert got == {k: n + 1 for n, (_, k) in enumerate(hot)}
+        odd = F.when(F.col("k") % 5 == 0, F.col("k"))
+        carried = {r["k"]: r["v"] for r in scale.latest_before(df, "g", ["at", "k"], odd, "v").where("g = 'hot'").collect()}
+        last, want = None, {}
+        for _, k in hot:
+            want[k] = last
+            last = k if k % 5 == 0 else last
+        assert carried == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_intermediates_are_removed(spark):
+    import os
+
+    with scale.intermediates(spark):
+        held = scale.materialize(spark.range(3))
+        path = held.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path) and held.count() == 3
+    assert not os.path.exists(path)
+
+
 def test_core_never_imports_the_optional_part():
     import pathlib
     import re
