@@ -31,45 +31,50 @@ from loamstone.scale import materialize
 @dataclass(frozen=True)
 class FillRules:
     buckets: int = 160
-    bins: int = 1024
     top_up: bool = True
 
 
 def bucket_bounds(histogram: np.ndarray, buckets: int) -> np.ndarray:
-    """Boundaries (sizes) of at most ``buckets`` buckets with the least total padding.
+    """Boundaries (sizes) of at most ``buckets`` buckets with the least total padding, of the exact histogram.
 
-    ``histogram[s]`` is the number of items of size s. Classic one-dimensional dynamic program:
-    best[k][j] = min over i < j of best[k-1][i] + padding of sizes i+1..j to size j.
+    ``histogram[s]`` is the number of items of size s. With C and W the items and tokens before a size,
+    the program is best[k][j] = min over i <= j of best[k-1][i-1] + W_i - s_j C_i, plus s_j C_j+1 - W_j+1.
+    The terms in i are lines in s_j whose slopes fall with i while s_j rises, so the least one is found
+    on a lower envelope that is walked once: as many steps a round as there are sizes. Whole numbers
+    throughout.
     """
     sizes = np.flatnonzero(histogram)
     if len(sizes) <= buckets:
         return sizes
-    count = histogram[sizes].astype(np.float64)
-    c = np.concatenate(([0.0], np.cumsum(count)))
-    w = np.concatenate(([0.0], np.cumsum(count * sizes)))
-    m = len(sizes)
-    # padding[i, j]: items i..j-1 padded to sizes[j-1]
-    padding = sizes[None, :] * (c[1:][None, :] - c[:-1][:, None]) - (w[1:][None, :] - w[:-1][:, None])
-    padding[np.tril_indices(m, -1)] = np.inf
-    best = padding[0].copy()
+    count = histogram[sizes].astype(np.int64)
+    before = [0, *np.cumsum(count).tolist()]
+    weight = [0, *np.cumsum(count * sizes).tolist()]
+    at, m = sizes.tolist(), len(sizes)
+    best = [at[j] * before[j + 1] - weight[j + 1] for j in range(m)]
     came = np.zeros((buckets, m), dtype=np.int32)
     for k in range(1, buckets):
-        total = best[:-1, None] + padding[1:, :]
-        came[k, :] = total.argmin(axis=0)
-        now = total.min(axis=0)
-        now[0] = np.inf
-        better = now < best
-        came[k, ~better] = -1
-        best = np.where(better, now, best)
+        slopes, heights, starts, head = [], [], [], 0
+        now, own = best.copy(), came[k].tolist()
+        for j in range(k, m):
+            slope, height = -before[j], best[j - 1] + weight[j]
+            while len(starts) - head > 1 and (height - heights[-2]) * (slopes[-2] - slopes[-1]) <= (heights[-1] - heights[-2]) * (slopes[-2] - slope):
+                slopes.pop(), heights.pop(), starts.pop()
+            slopes.append(slope), heights.append(height), starts.append(j)
+            x = at[j]
+            while len(starts) - head > 1 and slopes[head + 1] * x + heights[head + 1] <= slopes[head] * x + heights[head]:
+                head += 1
+            now[j] = slopes[head] * x + heights[head] + x * before[j + 1] - weight[j + 1]
+            own[j] = starts[head]
+        best, came[k] = now, own
     bounds, j, k = [], m - 1, buckets - 1
     while j >= 0:
-        while k > 0 and came[k, j] == -1:
-            k -= 1
-        bounds.append(int(sizes[j]))
+        bounds.append(at[j])
         if k == 0:
             break
-        j, k = int(came[k, j]), k - 1
-    return np.array(bounds[::-1])
+        j, k = (int(came[k, j]) - 1, k - 1) if j >= k else (j, j)
+        if len(bounds) > 1 and bounds[-1] == bounds[-2]:
+            bounds.pop()
+    return np.array(sorted(set(bounds)))
 
 
 def plan_batches(bounds: np.ndarray, counts: np.ndarray, capacity: int, top_up: bool = True) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -122,11 +127,8 @@ def fill(items: DataFrame, key: str, capacity: int, rules: FillRules = FillRules
     got = rest.groupBy("size").agg(F.count("*").alias("n")).toPandas()  # at most `capacity` rows
     exact = np.zeros(capacity + 1, dtype=np.int64)
     exact[got["size"].to_numpy(dtype=np.int64)] = got["n"].to_numpy(dtype=np.int64)
-    width = -(-capacity // rules.bins)
-    binned = np.zeros(capacity + width + 1, dtype=np.int64)
     at = np.flatnonzero(exact)
-    np.add.at(binned, np.minimum(-(-at // width) * width, capacity), exact[at])
-    bounds = bucket_bounds(binned, rules.buckets)
+    bounds = bucket_bounds(exact, rules.buckets)
     where = np.searchsorted(bounds, np.arange(capacity + 1))
     counts = np.bincount(where[at], weights=exact[at], minlength=len(bounds)).astype(np.int64) if len(at) else np.zeros(0, dtype=np.int64)
     plan = plan_batches(bounds, counts, capacity, rules.top_up)

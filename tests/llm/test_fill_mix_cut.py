@@ -29,6 +29,30 @@ def test_bounds_are_optimal():
         assert got[-1] == sizes[-1] and len(got) <= 4 and padding(got) == best
 
 
+def test_bounds_of_a_long_histogram():
+    """Against the plain program over all pairs of sizes."""
+    draw = np.random.default_rng(3)
+    histogram = draw.integers(0, 50, 400)
+    sizes = np.flatnonzero(histogram)
+    count = histogram[sizes]
+    c, w = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(count * sizes)))
+    best = np.array([sizes[j] * c[j + 1] - w[j + 1] for j in range(len(sizes))])
+    for _ in range(24):
+        best = np.array([min([best[j], *(best[i - 1] + sizes[j] * (c[j + 1] - c[i]) - (w[j + 1] - w[i]) for i in range(1, j + 1))]) for j in range(len(sizes))])
+    bounds = fill.bucket_bounds(histogram, 25)
+    at = np.searchsorted(bounds, sizes)
+    assert len(bounds) <= 25 and int((count * (bounds[at] - sizes)).sum()) == best[-1]
+
+
+def test_strict_batches_stay_in_their_bucket(spark):
+    items = spark.createDataFrame([(k, 1 + k % 60) for k in range(600)], "doc_id bigint, tokens bigint")
+    rules = fill.FillRules(buckets=5, top_up=False)
+    got = fill.fill(items, "doc_id", 64, rules).toPandas()
+    histogram = np.bincount(got["size"])
+    bucket = np.searchsorted(fill.bucket_bounds(histogram, 5), got["size"])
+    assert got.assign(bucket=bucket).groupby("container")["bucket"].nunique().max() == 1 and got.groupby("container")["size"].sum().max() <= 64
+
+
 def test_fill(spark):
     draw = random.Random(2)
     rows = [(k, draw.choice((0, 3, 40, 64, 65, 130, 7, 33, 50)), "x") for k in range(3000)] + [(9999, None, None), (5, 10, None), (5, 10, None)]
