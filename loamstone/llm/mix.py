@@ -101,12 +101,17 @@ def weighted(items: DataFrame) -> DataFrame:
 def mixed(items: DataFrame, targets: DataFrame, rules: MixRules = MixRules()) -> DataFrame:
     """mix_name, key, source, tokens, copies: how often each record occurs in each mix (only copies > 0).
 
-    ``items``: key, source, tokens, look (a hash of the text); ``targets``: the fixed small table of mixes.
+    ``items``: key, source, tokens, look (a 128-bit hash of the text); ``targets``: the fixed small table of mixes.
+
+    A mix is as large as its scarcest source allows: the size at which that source, repeated as often as
+    it may be, gives exactly its share.
     """
     spark = items.sparkSession
     counted = materialize(items.select("key", "source", "tokens", "look"), "token-counts")  # texts are read and counted once
     rows = materialize(weighted(counted.where("tokens > 0").dropDuplicates(["key"])), "weighted")
-    classes = rows.groupBy("source", "same").agg(F.sum("tokens").alias("tokens")).toPandas()  # few classes for each source
+    # Of the sources of the targets only; a source of n records has at most sqrt(2 n) different numbers of copies.
+    wanted = F.broadcast(targets.select("source").distinct())
+    classes = rows.join(wanted, "source", "left_semi").groupBy("source", "same").agg(F.sum("tokens").alias("tokens")).toPandas()
     totals = classes.groupby("source")["tokens"].sum().to_dict()
     plan = plan_mix([r.asDict() for r in targets.dropDuplicates(["mix_name", "source"]).collect()], totals)
     steps = []

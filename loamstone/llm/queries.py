@@ -40,7 +40,7 @@ def p3_incoming(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, root: str) -> DataFrame:
-    return canon.with_canonical(table(spark, root, "mem_records", "id", "content").distinct()).select("id", "canonical")
+    return canon.with_canonical(table(spark, root, "mem_records", "id", "content").where("id IS NOT NULL").dropDuplicates(["id"])).select("id", "canonical")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -71,12 +71,17 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     return fill.fill_all(_token_counts(spark, root), "doc_id", table(spark, root, "container_sizes"))
 
 
+def p6_strict(spark: SparkSession, root: str) -> DataFrame:
+    """The containers where a batch never leaves its bucket."""
+    return fill.fill_all(_token_counts(spark, root), "doc_id", table(spark, root, "container_sizes"), fill.FillRules(top_up=False))
+
+
 def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return fill.fill_report(p6_containers(spark, root))
 
 
 def _mix(spark: SparkSession, root: str) -> DataFrame:
-    items = _token_counts(spark, root).select(F.col("doc_id").alias("key"), "source", "tokens", F.xxhash64("text").alias("look"))
+    items = _token_counts(spark, root).select(F.col("doc_id").alias("key"), "source", "tokens", F.unhex(F.md5("text")).alias("look"))
     return mix.mixed(items, table(spark, root, "mix_targets"))
 
 
@@ -103,6 +108,6 @@ def p8_rates(spark: SparkSession, root: str) -> DataFrame:
 def queries() -> dict:
     own = (
         p1_found, p1_split, p2_found, p2_collapsed, p3_found, p3_incoming, p3_records, p4_found, p4_groups, p5_found,
-        p5_conversations, p6_containers, p6_report, p7_mix, p7_shares, p8_found, p8_rates,
+        p5_conversations, p6_containers, p6_strict, p6_report, p7_mix, p7_shares, p8_found, p8_rates,
     )
     return {f.__name__: f for f in own}
