@@ -2,9 +2,9 @@
 
 A content's canonical form is its letters and digits in order, after composition and case folding.
 A content that consists of named fields also has a field form: its sorted (name, value) pairs, each
-canonicalized alike. Forms are hashed to 128 bits; equal hashes are aggregated with map-side
-combining. Canonical forms are grouped by a second, independent hash too, as a collision check;
-field forms have their 128 bits alone.
+canonicalized alike, nested objects sorted within. Forms are hashed to 128 bits; equal hashes are
+aggregated with map-side combining. Both kinds of form carry a second, independent hash of 64 bits by
+which they are grouped too, as a collision check.
 
 Defined results: a NULL content, or one without a letter or digit, has no copies; rows of one id
 count once; an owner is compared without case and surrounding spaces, and rows without one are left
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 
 import pandas as pd
@@ -38,16 +39,33 @@ def plain_form(text: str) -> str:
     return _OTHERS.sub("", text.casefold())
 
 
+class _Object(list):
+    """The (name, value) pairs of a JSON object, in the order they are written."""
+
+
+def _json(text: str):
+    try:
+        return json.loads(text, object_pairs_hook=_Object, strict=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _told(value) -> str:
+    """A field's value as text: an object with its own fields in canonical order, whatever is in it."""
+    if isinstance(value, _Object):
+        return " ".join(f"{k} {v}" for k, v in sorted((plain_form(k), _told(v)) for k, v in value))
+    if isinstance(value, list):
+        return " ".join(map(_told, value))
+    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
 def named_fields(text: str) -> list[tuple[str, str]] | None:
     """(name, value) pairs of a content that consists of at least two named fields, else None."""
     text = text.strip()
     if text[:1] == "{" and text[-1:] == "}":
-        try:
-            pairs = json.loads(text, object_pairs_hook=list, strict=False)
-        except (ValueError, RecursionError):
-            pairs = None
-        if pairs is not None and isinstance(pairs, list):
-            return [(k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in pairs] if len(pairs) > 1 else None
+        pairs = _json(text)
+        if isinstance(pairs, _Object):
+            return [(k, _told(v)) for k, v in pairs] if len(pairs) > 1 else None
     if ":" not in text and "=" not in text:
         return None
     for separator in _SEPARATORS:
@@ -56,10 +74,16 @@ def named_fields(text: str) -> list[tuple[str, str]] | None:
             continue
         found = [_ENTRY.match(x) for x in entries]
         if all(found):
-            return [(m[1], m[2]) for m in found]
+            return [(m[1], _value(m[2])) for m in found]
     return None
 
 
+def _value(text: str) -> str:
+    """An entry's value, told as JSON tells it where it is an object."""
+    held = _json(text) if text[:1] == "{" and text[-1:] == "}" else None
+    return _told(held) if isinstance(held, _Object) else text
+
+
 def field_form(text: str) -> str | None:
     """The sorted, canonicalized fields as one string, or None if the content isn't made of fields."""
     pairs = named_fields(text)
@@ -85,12 +109,13 @@ def _forms(batches):
             plain = plain_form(text)
             if plain:
                 fields = field_form(text)
-                rows.append((i, _hash(plain, owner), _check(plain), None if fields is None else _hash("\x1c" + fields, owner), owner))
+                told = None if fields is None else _hash("\x1c" + fields, owner) + struct.pack("<q", _check("\x1c" + fields))
+                rows.append((i, _hash(plain, owner), _check(plain), told, owner))
         yield pd.DataFrame(rows, columns=["id", "plain", "checksum", "fields", "owner"])
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
-    """id, plain and fields hash (128 bits), checksum and owner of every fact that has an owner."""
+    """id, plain hash (128 bits) and its check, fields hash with its own check behind it, and owner of every fact that has an owner."""
     owner = F.lower(F.trim("owner_id"))
     facts = records.where(
         F.col("id").isNotNull()
