@@ -1,10 +1,12 @@
 """One consistent form for text that looks the same.
 
-A quick check sorts characters into stable ones, ones with a form of their own that no neighbour
-changes, and contextual ones (combining marks, voiced sound marks, joiners, conjoining letters). A
-text of stable characters is returned as it is. Otherwise single characters are replaced in place,
-each maximal contextual run is taken with the character before it as boundary context, normalized
-alone, and spliced into the unchanged text.
+The quick check is the one of composed normalization, taken from the character data: a character is
+unstable if its Quick_Check property is No (it is never part of composed text), if it is Maybe (it may
+compose with the one before), if it has a combining class or is a mark, or if it has a look of another
+character's. A text without unstable characters is returned as it is. Otherwise each maximal run of
+unstable characters is isolated with the stable character before it as boundary context: composition
+never crosses a stable character. Only these segments are normalized, and they are spliced into the
+unchanged text.
 
 The form: full- and half-width forms become ordinary ones, accents are composed, look-alike letters
 become Latin, kinds of space of one place become one space, invisible characters go (joiners and
@@ -29,6 +31,7 @@ from pyspark.sql import types as T
 from loamstone.llm.lookalikes import LOOKALIKES
 from loamstone.scale import materialize, salt_of
 
+BLOCK = 4096
 _JOINERS = "\u200d\ufe0e\ufe0f"
 #: Characters that show nothing though their category doesn't say so: fillers and grapheme joiner.
 _BLANK = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
@@ -55,9 +58,13 @@ def _is_width_form(ch: str) -> bool:
     return 0xFF01 <= ord(ch) <= 0xFFEE
 
 
+def _is_roman_numeral(ch: str) -> bool:
+    return 0x2160 <= ord(ch) <= 0x217F
+
+
 def _one(ch: str) -> str:
     """One character with its width form, space and look-alike resolved, composed."""
-    if _is_width_form(ch):
+    if _is_width_form(ch) or _is_roman_numeral(ch):
         ch = unicodedata.normalize("NFKC", ch)
     parts = [" " if unicodedata.category(c) == "Zs" else LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFD", ch)]
     return unicodedata.normalize("NFC", "".join(parts))
@@ -82,29 +89,52 @@ class _Forms(dict):
 _FORMS = _Forms()
 
 
+@lru_cache(maxsize=1)
+def _maybe() -> frozenset[int]:
+    """NFC_Quick_Check = Maybe: what composes with a character before it, and conjoining vowels and finals."""
+    seconds = set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3))
+    for code in range(0x30000):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", chr(int(parts[0], 16)) + chr(int(parts[1], 16))) == chr(code):
+            seconds.add(int(parts[1], 16))
+    return frozenset(seconds)
+
+
 def _is_contextual(code: int) -> bool:
+    """Whether a character's form may depend on its neighbours."""
     ch = chr(code)
-    return ch in _JOINERS or unicodedata.category(ch)[0] == "M" or unicodedata.combining(ch) != 0 or 0x1160 <= code <= 0x11FF
+    return ch in _JOINERS or code in _maybe() or unicodedata.category(ch)[0] == "M" or unicodedata.combining(ch) != 0 or 0x1160 <= code <= 0x11FF
 
 
-@lru_cache(maxsize=1)
-def _segment() -> re.Pattern:
-    """A character followed by contextual ones, or contextual ones at the text's start."""
-    spans, start = [], None
-    for code in range(0x20000):
-        if not 0xD800 <= code <= 0xDFFF and _is_contextual(code):
-            start = code if start is None else start
-        elif start is not None:
-            spans.append((start, code - 1))
-            start = None
-    context = "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in spans)
-    return re.compile(f"[^{context}]?[{context}]+")
+def _is_unstable(code: int) -> bool:
+    """The quick check of one character: contextual, or never itself in a form (Quick_Check = No among them)."""
+    if 0xD800 <= code <= 0xDFFF or unicodedata.category(chr(code)) in ("Cn", "Co"):
+        return False
+    return _is_contextual(code) or _FORMS[code] != code
+
+
+def _class(codes) -> str:
+    """A character class of those code points, as ranges."""
+    spans: list[list[int]] = []
+    for code in codes:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in spans)
+
+
+def _run_with_context(of: str) -> re.Pattern:
+    return re.compile(f"[^{of}]?[{of}]+")
 
 
 @lru_cache(maxsize=1)
-def _contextual() -> frozenset[str]:
-    """Quick check: a text without any of these has no segment."""
-    return frozenset(chr(code) for code in range(0x20000) if not 0xD800 <= code <= 0xDFFF and _is_contextual(code))
+def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """One unstable character; a segment (unstable ones with the stable one before); contextual ones with the one before."""
+    assigned = [*range(0x33480), *range(0xE0000, 0xE0200)]
+    unstable = _class(code for code in assigned if _is_unstable(code))
+    contextual = _class(code for code in assigned if not 0xD800 <= code <= 0xDFFF and _is_contextual(code))
+    return re.compile(f"[{unstable}]"), _run_with_context(unstable), _run_with_context(contextual)
 
 
 def _canonical(match: re.Match) -> str:
@@ -116,12 +146,17 @@ def _canonical(match: re.Match) -> str:
     return unicodedata.normalize("NFC", "".join(LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFD", "".join(shown))))
 
 
+def _segment_form(match: re.Match) -> str:
+    """The form of one segment: characters with a form of their own, then those that neighbours change."""
+    return _patterns()[2].sub(_canonical, match[0].translate(_FORMS))
+
+
 def canonical(text: str | None) -> str | None:
     """The one form of ``text``."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
-    text = text.translate(_FORMS)
-    return text if _contextual().isdisjoint(text) else _segment().sub(_canonical, text)
+    unstable, segment, _ = _patterns()
+    return segment.sub(_segment_form, text) if unstable.search(text) else text
 
 
 def has_visible(text: str | None) -> bool:
@@ -160,16 +195,18 @@ def same_look_pairs(rows: DataFrame, key: str, salts: int = 32) -> DataFrame:
 
     Distinct contents are paired first, on aggregated rows; then each side's members are joined on
     (content, salt), so copies of one content are spread over all salts and are never paired among
-    themselves.
+    themselves. The forms of one look are paired in blocks of at most about ``BLOCK`` by ``BLOCK``, so a
+    look with very many forms is shared among tasks.
     """
     seen = materialize(looks(rows, key, salts).distinct(), "looks")
     per_salt = seen.groupBy("look", "form", "salt").agg(F.lit(1).alias("_n"))
     forms = per_salt.groupBy("look", "form").agg(F.collect_set("salt").alias("salts"))
-    shared = forms.groupBy("look").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("look")
+    shared = forms.groupBy("look").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
     rival = materialize(forms.join(shared, "look"), "rival-forms")
-    a = rival.select("look", F.col("form").alias("form_a"), F.col("salts").alias("salts_a"))
-    b = rival.select("look", F.col("form").alias("form_b"), F.col("salts").alias("salts_b"))
-    pairs = a.join(b, "look").where("form_a < form_b").drop("look")
+    blocks = F.ceil(F.col("_n") / BLOCK)
+    a = rival.select("look", F.col("form").alias("form_a"), F.col("salts").alias("salts_a"), F.pmod(F.xxhash64("form"), blocks).alias("_a"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("_b"))
+    b = rival.select("look", F.col("form").alias("form_b"), F.col("salts").alias("salts_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("_a"), F.pmod(F.xxhash64("form"), blocks).alias("_b"))
+    pairs = a.join(b, ["look", "_a", "_b"]).where("form_a < form_b").drop("look", "_a", "_b")
     members = seen.select(F.col(key).alias("_key"), "form", "salt")
     left = pairs.withColumn("salt", F.explode("salts_a")).join(members.withColumnRenamed("form", "form_a"), ["form_a", "salt"]).select("form_b", "salts_b", F.col("_key").alias("_x"))
     both = left.withColumn("salt", F.explode("salts_b")).join(members.withColumnRenamed("form", "form_b"), ["form_b", "salt"]).select("_x", F.col("_key").alias("_y"))

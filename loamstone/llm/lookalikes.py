@@ -10,12 +10,17 @@ CYRILLIC = {
 GREEK = {
     "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
-    "ϲ": "c", "ϳ": "j", "ο": "o", "ν": "v",
+    "α": "a", "ϲ": "c", "ϳ": "j", "ο": "o", "ρ": "p", "ν": "v",
 }
 ARMENIAN = {"Լ": "L", "Օ": "O", "Ս": "U", "հ": "h", "ո": "n", "օ": "o", "ց": "g", "զ": "q", "ս": "u"}
 CHEROKEE = {
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M",
     "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
 }
+LISU = {
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L",
+    "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+}
+PHONETIC = {"ɑ": "a", "ɡ": "g"}
 
-LOOKALIKES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE
+LOOKALIKES = CYRILLIC | GREEK | ARMENIAN | CHEROKEE | LISU | PHONETIC

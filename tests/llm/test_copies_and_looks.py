@@ -64,7 +64,7 @@ def brute(text):
                 kept.append(ch)
         elif not canon._is_invisible(ch):
             kept.append(ch)
-    wide = "".join(unicodedata.normalize("NFKC", c) if 0xFF01 <= ord(c) <= 0xFFEE else c for c in kept)
+    wide = "".join(unicodedata.normalize("NFKC", c) if 0xFF01 <= ord(c) <= 0xFFEE or 0x2160 <= ord(c) <= 0x217F else c for c in kept)
     plain = "".join(" " if unicodedata.category(c) == "Zs" else canon.LOOKALIKES.get(c, c) for c in unicodedata.normalize("NFD", wide))
     return unicodedata.normalize("NFC", plain)
 
@@ -76,6 +76,43 @@ def test_segments_equal_whole_text(text):
     assert canonical(canonical(text)) == canonical(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=12))
+def test_segments_equal_whole_text_of_any_characters(text):
+    if not any(unicodedata.category(c) in ("Cn", "Co", "Cs") for c in text):
+        assert canonical(text) == brute(text)
+
+
+def test_quick_check_is_that_of_composed_text():
+    """Every character that may change composed text is unstable, and no ordinary letter is."""
+    from loamstone.llm import canon
+
+    for code in [*range(0x250), *range(0x300, 0x1200), *range(0x3040, 0x3100), *range(0xAC00, 0xAC80), *range(0x2F800, 0x2FA1E)]:
+        ch = chr(code)
+        if unicodedata.category(ch) != "Cn" and (unicodedata.normalize("NFC", ch) != ch or unicodedata.normalize("NFC", "e" + ch) != "e" + ch or unicodedata.combining(ch)):
+            assert canon._is_unstable(code), hex(code)
+    assert not any(canon._is_unstable(ord(c)) for c in "aZ9é漢かガ가ßжя.")
+
+
+def test_more_scripts():
+    assert canonical("αρɡɑꓮⅣ") == "apgaAIV"
+
+
+def test_one_look_of_many_forms(spark, monkeypatch):
+    from loamstone.llm import canon
+
+    monkeypatch.setattr(canon, "BLOCK", 7)
+    rows = [(k, "".join("аa"[k >> b & 1] for b in range(6))) for k in range(64)]
+    df = spark.createDataFrame(rows, "arrival bigint, content string")
+    got = same_look_pairs(df, "arrival").collect()
+    assert len(got) == len({tuple(r) for r in got}) == 64 * 63 // 2
+
+
+def test_nested_fields_in_any_order():
+    assert field_form('{"a": {"x": 1, "y": "B"}, "c": 2}') == field_form('{"C": "2", "A": {"Y": "b", "x": 1}}') == field_form('c: 2; a: {"y": "b", "x": 1}')
+    assert field_form('{"a": [1, 2], "c": 2}') != field_form('{"a": [2, 1], "c": 2}')
+
+
 def test_looks():
     assert canonical("Ｔｅｓｔ") == canonical("Тest") == "Test"
     assert canonical("café") == canonical("caf​é") == "café"
