@@ -167,7 +167,7 @@ def stored_split(body: str, pieces: list[str], rules: SplitRules) -> list[tuple[
                 stop = start + size
                 if stop <= end or stop > n or stop in forth or not body.startswith(piece, start):
                     continue
-                if not last and stop < n and body[stop - 1].isalnum() and body[stop].isalnum() and any(ch.isspace() for ch in piece[-100:]):
+                if not last and stop < n and body[stop - 1].isalnum() and body[stop].isalnum() and any(ch.isspace() for ch in piece[max(0, size - rules.overlap) :]):
                     continue
                 forth[stop] = (*path, (start, stop))
         if not forth:

@@ -16,10 +16,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamstone.scale import materialize
+from loamstone.scale import materialize, numbered
 
 PREFIX = r"^\[(user|claude)(?: ([0-9]+)/([0-9]+))?\] "
 VISIBLE = (
@@ -74,7 +73,7 @@ def messages(records: DataFrame) -> DataFrame:
     """
     key = ["session_id", "turn_id", "role", "message"]
     parts = pieces(records).groupBy(*key, "part", "parts").agg(
-        F.min("at").alias("at"), F.max(F.col("body").rlike(VISIBLE)).alias("shows"), F.min(F.xxhash64("part", "body")).cast("decimal(38,0)").alias("mark")
+        F.min("at").alias("at"), F.max(F.col("body").rlike(VISIBLE)).alias("shows"), F.min(F.xxhash64("part", "body")).cast("decimal(38,0)").alias("mark"), F.min(F.xxhash64(F.lit("check"), "body", "part")).cast("decimal(38,0)").alias("check")
     )
     whole = parts.groupBy(*key).agg(
         F.min("at").alias("at"),
@@ -84,7 +83,7 @@ def messages(records: DataFrame) -> DataFrame:
         F.countDistinct("part").alias("held"),
         F.min("part").alias("first"),
         F.max("part").alias("last"),
-        F.sum("mark").alias("text"),
+        F.concat_ws(" ", F.sum("mark").cast("string"), F.sum("check").cast("string")).alias("text"),  # two independent hashes
     )
     complete = (F.col("least") == F.col("most")) & (F.col("held") == F.col("most")) & (F.col("first") == 1) & (F.col("last") == F.col("most"))
     told = whole.select("session_id", "turn_id", "role", "text", "at", (F.col("shows") & F.coalesce(complete, F.lit(False))).alias("good"))
@@ -152,8 +151,8 @@ def _stitch(parts: pd.Series) -> pd.Series:
 def conversations(records: DataFrame) -> DataFrame:
     """The kept sessions, one row per message: session_id, turn_no, turn_id, speaker, content, at.
 
-    Turns are numbered by their first message's time. Kept turns hold two messages, so the windows
-    are over turns of one session and pieces of one message.
+    Turns are numbered by their prompt's time. Kept turns hold two messages, and what is gathered in
+    one place are the pieces of one message; a session's turns are numbered by range.
     """
     stitch = F.pandas_udf(_stitch, "string")
     kept = session_verdicts(records).where("kept").select("session_id")
@@ -164,10 +163,8 @@ def conversations(records: DataFrame) -> DataFrame:
     )
     text = F.when(F.size("_parts") == 1, F.col("_parts")[0]["body"]).otherwise(stitch("_parts"))
     done = whole.select("session_id", "turn_id", "role", "at", text.alias("content"))
-    # Turns are ranked on narrow rows: a session's text is never gathered in one task.
     turns = done.where("role = 'user'").select("session_id", "turn_id", "at")
-    number = F.row_number().over(W.partitionBy("session_id").orderBy("at", "turn_id"))
-    turns = turns.select("session_id", "turn_id", number.alias("turn_no"))
+    turns = numbered(turns, ["session_id"], ["at", "turn_id"], "turn_no").drop("at")
     return done.join(turns, ["session_id", "turn_id"]).select(
         "session_id", "turn_no", "turn_id", F.col("role").alias("speaker"), "content", F.col("at").alias("timestamp_epoch")
     )
