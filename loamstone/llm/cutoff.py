@@ -6,10 +6,15 @@ block the text ends in, open brackets, quotes and fences, the shape of the last
 length's distance to a limit of its source. A limit is a length at which far more distinct texts of
 a source lie than at the lengths around it; it is found on all rows. Every record is scored.
 
+The model alone weighs a limit: artificial cuts at limits have the share among all that the peaks of
+all rows have among the cut texts, and a whole text that lies at one is an example with the share of
+texts that chance puts there.
+
 The model is fitted on a bounded sample (``CutRules.train_docs``, by hash of the key, each cut
-``cuts`` times); statistics and scores cover all rows. Rows of the sample that look cut already (at
-a limit, unparsable, an open fence) give no negatives; negatives that a model fitted on the other
-folds finds cut are dropped before the last fit.
+``cuts`` times, at no more than ``train_limits`` limits of its source); statistics and scores cover
+all rows and whole texts. Rows of the sample that look cut already (unparsable, an open fence) give
+no negatives; negatives that a model fitted on the other folds, without a look at limits, finds cut
+are dropped before the last fit.
 
 Defined results: a NULL or blank text is not cut (score 0); a NULL layout or source is a value of
 its own; repeated keys are scored each; extra columns are ignored; an empty table gives no rows.
@@ -26,17 +31,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TAIL = 4000
-
+from loamstone.scale import materialize
 
 @dataclass(frozen=True)
 class CutRules:
     train_docs: int = 6000
+    train_limits: int = 64
     cuts: int = 3
     bits: int = 18
-    rounds: int = 220
+    rounds: int = 700
     step: float = 0.35
     l2: float = 2e-6
     prior: float = 0.03
@@ -71,44 +77,73 @@ def _bucket(n: int) -> int:
     return n if n < 6 else 6 + int(n).bit_length()
 
 
-def block_kind(text: str, lines: list[str], layout: str) -> tuple[str, int]:
-    """The kind of block the text ends in, and how many of ``lines`` (the tail's) belong to it."""
+def _last_line_with(body: str, start: str) -> int:
+    """Where the last line that begins with ``start`` begins, or -1."""
+    at = body.rfind("\n" + start)
+    return at + 1 if at >= 0 else 0 if body.startswith(start) else -1
+
+
+def _last_mark(body: str) -> tuple[int, re.Match | None]:
+    """The last line that is a mark of an input or output: where it begins, and the mark."""
+    end = len(body)
+    while True:
+        at = max(body.rfind("\nIn", 0, end), body.rfind("\nOut", 0, end)) + 1
+        m = _MARK.match(body, at)
+        if m or at == 0:
+            return at, m
+        end = at - 1
+
+
+def block_kind(body: str, layout: str) -> tuple[str, int]:
+    """The kind of block the text ends in, and where in the text it begins."""
+    end = body.rfind("\n") + 1  # the last line
     if layout == "json":
-        return "json", 1
-    if layout == "fenced" or (layout not in ("percent", "inout") and "\n```" in text):
-        fences = text.count("\n```") + text.startswith("```")
-        if fences % 2:
-            for k, line in enumerate(reversed(lines)):
-                if line.startswith("```"):
-                    return "open" + line[3:12], k
-            return "open", len(lines)
-        return ("closed", 1) if lines[-1].startswith("```") else ("prose", 1)
+        return "json", end
+    if layout == "fenced" or (layout not in ("percent", "inout") and "\n```" in body):
+        if (body.count("\n```") + body.startswith("```")) % 2:
+            at = _last_line_with(body, "```")
+            line = body[at:].split("\n", 1)[0]
+            return "open" + line[3:12], min(at + len(line) + 1, len(body))
+        return ("closed", end) if body.startswith("```", end) else ("prose", end)
     if layout == "percent":
-        for k, line in enumerate(reversed(lines)):
-            if line.startswith("# %%"):
-                return ("mark" if k == 0 else "prose" if "[markdown]" in line else "code"), max(k, 1)
-            if line.startswith("# -->"):
-                return "out", max(k, 1)
-        return "far", len(lines)
-    gap = 0
-    for k, line in enumerate(reversed(lines)):
-        m = _MARK.match(line)
-        if m:
-            return f"{m[1]}{min(gap, 2)}", max(k, 1)
-        gap += line == ""
-    return "far", len(lines)
+        cell, out = _last_line_with(body, "# %%"), _last_line_with(body, "# -->")
+        at = max(cell, out)
+        if at < 0:
+            return "far", 0
+        after = body.find("\n", at) + 1
+        if out > cell:
+            return "out", after or at
+        kind = "mark" if not after else "prose" if "[markdown]" in body[at:after] else "code"
+        return kind, after or at
+    at, m = _last_mark(body)
+    if not m:
+        return "far", 0
+    after = body.find("\n", at) + 1
+    gap = sum(line == "" for line in body[after:].split("\n")) if after else 0
+    return f"{m[1]}{min(gap, 2)}", after or at
+
+
+CLOSINGS = ("dots", "stop", "open")
+
+
+def closing(body: str) -> str:
+    """How a text closes: with dots, with another end of a sentence, or without any."""
+    return "dots" if body.endswith(("...", "…")) else "stop" if body[-1:] in _ENDS else "open"
+
+
+def limit_features(limit_gap: str, close: str) -> tuple[str, str]:
+    return f"lim {limit_gap}", f"limc {limit_gap} {close}"
 
 
 def features(text: str, layout: str | None, limit_gap: str) -> list[str]:
     """The names of the features of one text; ``limit_gap`` tells its length's distance to a limit."""
     layout = layout or "none"
     body = text.rstrip()
-    tail = body[-TAIL:]
-    lines = tail.split("\n")
-    last = lines[-1]
-    before = lines[-2] if len(lines) > 1 else ""
-    kind, depth = block_kind(body, lines, layout)
-    block = lines[-min(depth, 40):]
+    end_of_line = body.rfind("\n")
+    last = body[end_of_line + 1 :]
+    before = body[body.rfind("\n", 0, end_of_line) + 1 : end_of_line] if end_of_line >= 0 else ""
+    kind, start = block_kind(body, layout)
+    block = body[start:]
     if layout == "percent":
         strip = lambda x: x[2:] if x.startswith("# ") else x[1:] if x.startswith("#") else x
         if kind in ("prose", "out", "far"):
@@ -132,19 +167,19 @@ def features(text: str, layout: str | None, limit_gap: str) -> list[str]:
         item = "text"
     else:
         item = "other"
-    end = tail[-1:]
+    end = body[-1:]
     group = f"{layout}.{kind}"
     words = _WORD.findall(last[-300:])
     word = words[-1].lower() if words else ""
     complete = end in _ENDS
-    classes = "".join(_class(c) for c in tail[-6:])
-    opened = sum(line.count("(") + line.count("[") + line.count("{") - line.count(")") - line.count("]") - line.count("}") for line in block) if kind not in ("prose", "json") else 0
+    classes = "".join(_class(c) for c in body[-6:])
+    opened = sum(map(block.count, "([{")) - sum(map(block.count, ")]}")) if kind not in ("prose", "json") else 0
     quotes = (last.count("'") % 2, last.count('"') % 2)
     out = [
         "bias", f"g {group}", f"gi {group} {item}", f"e1 {classes[-1:]} {item} {group}", f"e1i {classes[-1:]} {item}", f"e2 {classes[-2:]} {item}", f"e3 {classes[-3:]} {kind}", f"e6 {classes}",
         f"w {word} {end in _ENDS}", f"wi {word} {item} {classes[-1:]}", f"w2 {' '.join(words[-2:]).lower()} {classes[-1:]}", f"wl {_bucket(len(word))} {item} {complete}",
         f"n {_bucket(len(words))} {item} {complete}", f"o {max(-2, min(2, opened))} {group}", f"oi {max(-2, min(2, opened))} {item}", f"q {quotes} {group} {item}",
-        f"s {_shape(last[-30:])} {kind}", f"sl {_shape(last[:60])} {kind}", f"st {_shape(last[:12])} {item} {complete}", f"c {complete} {item} {group}", f"lim {limit_gap}", f"limc {limit_gap} {complete}",
+        f"s {_shape(last[-30:])} {kind}", f"sl {_shape(last[:60])} {kind}", f"st {_shape(last[:12])} {item} {complete}", f"c {complete} {item} {group}", *limit_features(limit_gap, closing(body)),
     ]
     if item == "text":
         sentence = re.split(r"(?<=[.!?。！？])\s*", last[-400:])
@@ -175,24 +210,14 @@ def hashed(names: list[str], bits: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) & mask for x in names), dtype=np.int32, count=len(names))
 
 
-def limit_gap(chars: int, size: int, limits: dict[str, dict[int, float]]) -> str:
-    """How the length lies to the source's limits: at a limit in characters, or within 3 bytes of one in bytes."""
-    return _nearest(chars, size, limits)[0]
+GAPS = (0, 1, 2, 3, -1, -2)
 
 
-def limit_odds(chars: int, size: int, limits: dict[str, dict[int, float]], prior: float) -> float:
-    """Log-odds of a cut before the text is read: the peak's excess at a limit, else the prior rate."""
-    base = float(np.log(prior / (1 - prior)))
-    return max(base, _nearest(chars, size, limits)[1])
-
-
-def _nearest(chars: int, size: int, limits: dict[str, dict[int, float]]) -> tuple[str, float]:
+def limit_gap(chars: int, size: int, limits: dict[str, set[int]]) -> str:
+    """How a length lies to limits: at one in characters, or within 3 bytes of one in bytes."""
     if chars in limits.get("c", ()):
-        return "c", limits["c"][chars]
-    for gap in (0, 1, 2, 3, -1, -2):
-        if size + gap in limits.get("b", ()):
-            return f"b{gap}", limits["b"][size + gap]
-    return "none", -np.inf
+        return "c"
+    return next((f"b{gap}" for gap in GAPS if size + gap in limits.get("b", ())), "none")
 
 
 def cell_ends(text: str, layout: str | None) -> list[int]:
@@ -224,18 +249,22 @@ def source_limits(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-MOST_LIMITS = 100_000
-
+def with_limits(docs: DataFrame, limits: DataFrame) -> DataFrame:
+    """``docs`` with how each text's length lies to its source's limits (gap), and the share of whole texts there.
 
-def limits_of(docs: DataFrame) -> dict[str, dict[str, dict[int, float]]]:
-    """Per source and unit, each limit with the log-odds of a text there being cut."""
-    rows = source_limits(docs).limit(MOST_LIMITS + 1).collect()
-    if len(rows) > MOST_LIMITS:
-        raise ValueError("too many limits: group the sources first")
-    out: dict[str, dict[str, dict[int, float]]] = {}
-    for r in sorted(rows):
-        out.setdefault(r["source"], {}).setdefault(r["unit"], {})[r["size"]] = float(np.log((r["n"] - r["expected"]) / max(r["expected"], 0.25)))
-    return out
+    Limits are looked up by joins on source and length: a small table is broadcast by its size, and any
+    other is joined by sorting.
+    """
+    chance = F.least(F.lit(1.0), F.greatest(F.col("expected"), F.lit(0.25)) / F.col("n"))
+    at = limits.select(F.col("source").alias("_source"), "unit", "size", chance.alias("chance"))
+    in_chars = at.where("unit = 'c'").select("_source", F.col("size").alias("_chars"), F.col("chance").alias("_c"))
+    near = F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), F.lit(gap).alias("gap")) for k, gap in enumerate(GAPS)))).alias("x")
+    in_bytes = at.where("unit = 'b'").select("_source", "size", "chance", near)
+    in_bytes = in_bytes.groupBy("_source", (F.col("size") - F.col("x.gap")).alias("_bytes")).agg(F.min(F.struct("x.rank", "x.gap", "chance")).alias("_b"))
+    held = docs.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_chars", F.length("text")).withColumn("_bytes", F.octet_length("text"))
+    held = held.join(in_chars, ["_source", "_chars"], "left").join(in_bytes, ["_source", "_bytes"], "left")
+    gap = F.when(F.col("_c").isNotNull(), F.lit("c")).when(F.col("_b").isNotNull(), F.concat(F.lit("b"), F.col("_b.gap").cast("string"))).otherwise(F.lit("none"))
+    return held.select(*docs.columns, gap.alias("gap"), F.coalesce("_c", F.col("_b.chance"), F.lit(1.0)).alias("chance"))
 
 
 def fit(index: list[np.ndarray], label: np.ndarray, rules: CutRules, weight: np.ndarray | None = None, rounds: int | None = None) -> np.ndarray:
@@ -255,33 +284,48 @@ def fit(index: list[np.ndarray], label: np.ndarray, rules: CutRules, weight: np.
     return w
 
 
-def train(docs: DataFrame, key: str, limits: dict, rules: CutRules) -> np.ndarray:
-    """Weights fitted on a sample of at most about ``train_docs`` rows; features are made on the executors."""
+def train(docs: DataFrame, key: str, limits: DataFrame, rules: CutRules) -> np.ndarray:
+    """Weights fitted on a sample of at most about ``train_docs`` rows; features are made on the executors.
+
+    ``docs``: as ``with_limits`` gives them.
+    """
     total = max(1, docs.count())
     share = min(1.0, rules.train_docs / total)
     sample = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit(rules.seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    most = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "unit", "size"))
+    held = limits.withColumn("_k", most).where(F.col("_k") <= rules.train_limits)
+    held = held.groupBy(F.col("source").alias("_source")).agg(F.collect_list(F.struct("unit", "size")).alias("limits"))
+    sample = sample.withColumn("_source", F.coalesce("source", F.lit(""))).join(held, "_source", "left")
 
     def examples(batches):
         for pdf in batches:
-            rows = []
-            for k, text, layout, source in zip(pdf[key], pdf["text"], pdf["layout"], pdf["source"]):
+            rows: list[tuple[int, float, bytes, bytes, bool, int]] = []
+
+            def add(label: int, weight: float, text: str, layout: str | None, gap: str, fold: int) -> list[str]:
+                names = features(text, layout, gap)
+                at = {x for close in CLOSINGS for x in limit_features(gap, close)}
+                rows.append((label, weight, hashed([x for x in names if x not in at], rules.bits).tobytes(), hashed([x for x in names if x in at], rules.bits).tobytes(), gap != "none", fold))
+                return names
+
+            for k, text, layout, limits_here, gap, chance in zip(pdf[key], pdf["text"], pdf["layout"], pdf["limits"], pdf["gap"], pdf["chance"]):
                 if text is None or len(text.strip()) < 40:
                     continue
-                own = limits.get(source or "", {})
+                own: dict[str, set[int]] = {}
+                for x in limits_here if limits_here is not None else ():
+                    own.setdefault(x["unit"], set()).add(x["size"])
                 fold = zlib.crc32(text.encode("utf-8", "surrogatepass")) % rules.folds
-                gap = limit_gap(len(text), len(text.encode("utf-8", "surrogatepass")), own)
-                names = features(text, layout, gap)
-                if gap == "none" and "json broken" not in names and not any(x.startswith("g fenced.open") for x in names):
-                    rows.append((0, hashed(names, rules.bits), fold))
+                names = add(0, chance, text, layout, gap, fold)
+                if "json broken" in names or any(x.startswith("g fenced.open") for x in names):
+                    rows.pop()
                 draw = random.Random(f"{rules.seed} {k}")
                 newline = text.endswith("\n")
                 ends = [e for e in cell_ends(text, layout) if e > 40]
                 for e in draw.sample(ends, min(2, len(ends))):
-                    rows.append((0, hashed(features(text[:e], layout, "none"), rules.bits), fold))
+                    add(0, 1.0, text[:e], layout, "none", fold)
                 for cut in range(rules.cuts):
                     at = draw.randrange(min(40, len(text) // 2), max(41, len(text.rstrip()) - 1))
                     told = "none"
-                    fits = [(u, s) for u, sizes in sorted(own.items()) for s in sorted(sizes) if 40 < s < len(text) - 2]
+                    fits = [(u, n) for u, sizes in sorted(own.items()) for n in sorted(sizes) if 40 < n < len(text) - 2]
                     if cut == 0 and fits:
                         unit, size = draw.choice(fits)
                         sign = draw.choice(("", "", "...", "…"))
@@ -296,18 +340,24 @@ def train(docs: DataFrame, key: str, limits: dict, rules: CutRules) -> np.ndarra
                         if newline and draw.random() < 0.5:
                             piece += "\n"
                     if piece.strip():
-                        rows.append((1, hashed(features(piece, layout, told), rules.bits), fold))
-            yield pd.DataFrame({"label": [x for x, _, _ in rows], "index": [x.tobytes() for _, x, _ in rows], "fold": [x for _, _, x in rows]})
+                        add(1, 1.0, piece, layout, told, fold)
+            yield pd.DataFrame(rows, columns=["label", "weight", "index", "limit_index", "near", "fold"])
 
-    got = sample.select(key, "text", "layout", "source").mapInPandas(examples, "label int, index binary, fold int").toPandas()
+    got = sample.select(key, "text", "layout", "limits", "gap", "chance").mapInPandas(examples, "label int, weight double, index binary, limit_index binary, near boolean, fold int").toPandas()
     if not len(got):
         return np.zeros(1 << rules.bits)
-    got = got.sort_values(["label", "index"], kind="stable")  # one result whatever order the rows came in
+    got = got.sort_values(["label", "index", "limit_index", "weight"], kind="stable")  # one result whatever order the rows came in
     index = [np.frombuffer(x, dtype=np.int32) for x in got["index"]]
-    label = got["label"].to_numpy(dtype=float)
+    label, own = got["label"].to_numpy(dtype=float), got["weight"].to_numpy(dtype=float)
+    # Cuts at limits weigh among the artificial ones as much as the peaks of all rows tell.
+    near = got["near"].to_numpy() & (label == 1)
+    excess = limits.agg(F.coalesce(F.sum(F.col("n") - F.col("expected")), F.lit(0.0))).first()[0]
+    part = min(0.5, excess / (rules.prior * total))
+    if near.any() and part > 0:
+        own[near] *= part / (1 - part) * own[(label == 1) & ~near].sum() / own[near].sum()
 
     def balanced(keep: np.ndarray) -> np.ndarray:
-        weight = keep.astype(float)
+        weight = keep * own
         for value in (0.0, 1.0):
             n = weight[label == value].sum()
             weight[label == value] *= 0.5 * len(label) / max(1.0, n)
@@ -321,29 +371,28 @@ def train(docs: DataFrame, key: str, limits: dict, rules: CutRules) -> np.ndarra
         w = fit(index, label, rules, balanced(fold != k), rules.rounds // 2)
         for i in np.flatnonzero((fold == k) & (label == 0)):
             keep[i] = w[index[i]].sum() <= rules.doubt
-    return fit(index, label, rules, balanced(keep))
+    whole = [np.concatenate((x, np.frombuffer(y, dtype=np.int32))) for x, y in zip(index, got["limit_index"])]
+    return fit(whole, label, rules, balanced(keep))
 
 
 def scored(docs: DataFrame, key: str = "doc_id", rules: CutRules = CutRules()) -> DataFrame:
     """key, source, score (log-odds at the prior rate of cut texts), cut (score > 0) for every row."""
     docs = docs.select(key, "text", F.lower("layout").alias("layout"), "source")
-    limits = limits_of(docs)
-    weights = train(docs, key, limits, rules).astype(np.float32)
+    limits = materialize(source_limits(docs), "limits")
+    told = with_limits(docs, limits)
+    weights = train(told, key, limits, rules).astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    prior = float(np.log(rules.prior / (1 - rules.prior)))
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series, layouts: pd.Series, sources: pd.Series) -> pd.Series:
-        w, out = shared.value, np.zeros(len(texts))
-        for i, (text, layout, source) in enumerate(zip(texts, layouts, sources)):
-            if text is None or not text.strip():
-                out[i] = -30.0
-                continue
-            own, size = limits.get(source or "", {}), len(text.encode("utf-8", "surrogatepass"))
-            names = features(text, layout, limit_gap(len(text), size, own))
-            out[i] = w[hashed(names, rules.bits)].sum() + limit_odds(len(text), size, own, rules.prior)
+    def score(texts: pd.Series, layouts: pd.Series, gaps: pd.Series) -> pd.Series:
+        w, out = shared.value, np.full(len(texts), -30.0)
+        for i, (text, layout, gap) in enumerate(zip(texts, layouts, gaps)):
+            if text is not None and text.strip():
+                out[i] = w[hashed(features(text, layout, gap), rules.bits)].sum() + prior
         return pd.Series(out)
 
-    return docs.select(key, "source", score("text", "layout", "source").alias("score")).withColumn("cut", F.col("score") > 0)
+    return told.select(key, "source", score("text", "layout", "gap").alias("score")).withColumn("cut", F.col("score") > 0)
 
 
 def rates(told: DataFrame) -> DataFrame:

@@ -157,6 +157,30 @@ def test_limits(spark):
     texts = ["".join(draw.choice("abc ") for _ in range(draw.randint(100, 900))) for _ in range(800)]
     rows = [(k, t[:500], "s") for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    limits = cutoff.limits_of(df)
-    assert set(limits["s"]["c"]) == {500} and cutoff.limit_gap(500, 500, limits["s"]) == "c" and cutoff.limit_gap(499, 499, limits["s"]) == "b1"
-    assert cutoff.limits_of(df.limit(0)) == {}
+    limits = cutoff.source_limits(df)
+    found = {(r["source"], r["unit"], r["size"]) for r in limits.collect()}
+    assert {x for x in found if x[1] == "c"} == {("s", "c", 500)}
+    told = {r["doc_id"]: r for r in cutoff.with_limits(df, limits).collect()}
+    for k, text in enumerate(t[:500] for t in texts):
+        want = cutoff.limit_gap(len(text), len(text), {"c": {500}, "b": {500}})
+        assert told[k]["gap"] == want and (want == "none") == (told[k]["chance"] == 1.0)
+    assert cutoff.limit_gap(499, 499, {"c": {500}, "b": {500}}) == "b1" and told[0]["text"] == rows[0][1]
+    assert cutoff.source_limits(df.limit(0)).count() == 0
+
+
+def test_blocks_are_found_in_the_whole_text():
+    """A mark counts however far before the end it lies."""
+    long = "x" * 50_000
+    assert cutoff.block_kind(f"# %% [1]\na = 1\n# --> 1\n{long}", "percent")[0] == "out"
+    assert cutoff.block_kind(f"# %% [markdown]\n{long}", "percent")[0] == "prose" and cutoff.block_kind(f"a\n# %% [2]\n{long}\n", "percent")[0] == "code"
+    assert cutoff.block_kind(f"In [1]:\na\n\nOut[1]:\n{long}\n{long}", "inout")[0] == "Out0" and cutoff.block_kind(f"In [1]:\na\n\n{long}", "inout")[0] == "In1"
+    assert cutoff.block_kind(f"Inside\n{long}\nIn [x", "inout") == ("far", 0)
+    assert cutoff.block_kind(f"a\n```python\n{long}", "fenced")[0] == "openpython" and cutoff.block_kind(f"```\n{long}\n```", "fenced")[0] == "closed"
+    short, far = (cutoff.features(f"In [1]:\nf(\n{'y' * n}\n", "inout", "none") for n in (160, 8420))
+    assert [x for x in short if x[:2] in ("g ", "o ")] == [x for x in far if x[:2] in ("g ", "o ")]
+
+
+def test_an_empty_text_of_marks_only():
+    for text in ("# %%", "In [1]:", "```", "#", "In", "."):
+        for layout in ("percent", "inout", "fenced", "json", None):
+            assert cutoff.features(text, layout, "none")
