@@ -65,7 +65,7 @@ _NUMBER = re.compile(r"[-+]?\d+(?:\.\d+)?")
 # Read from the end backwards, as a search for a run's start would try every position before it.
 _B64_END = re.compile(r"\)?={0,2}[A-Za-z0-9+/]{40}")
 _B64_RUN = re.compile(r"\)?[A-Za-z0-9+/=]+")
-_MARK = re.compile(r"^(In|Out) ?\[[^\]\n]*\]:?")
+_MARK = re.compile(r"(In|Out) ?\[[^\]\n]*\]:?")
 _ENDS = ".!?…。！？"
 
 
