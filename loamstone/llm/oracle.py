@@ -110,7 +110,7 @@ _WIDE = {chr(k): unicodedata.normalize("NFKC", chr(k)) for k in range(0xFF01, 0x
 _MAP = _WIDE | _SINGLE | _COMPOSED
 _PICTURE = r"\x{2190}-\x{2BFF}\x{1F000}-\x{10FFFF}\p{So}"
 _JOIN = r"\x{200D}\x{FE0E}\x{FE0F}"
-_HIDDEN = r"[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f\x{ad}\x{34f}\x{600}-\x{605}\x{61c}\x{6dd}\x{70f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}\x{200c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{fe00}-\x{fe0d}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}\x{e0001}\x{e0020}-\x{e007f}\x{e0100}-\x{e01ef}]"
+_HIDDEN = r"[\x00-\x08\x0d-\x1f\x7f-\x84\x86-\x9f\x{ad}\x{34f}\x{600}-\x{605}\x{61c}\x{6dd}\x{70f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}\x{200c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{3164}\x{fe00}-\x{fe0d}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}\x{e0001}\x{e0020}-\x{e007f}\x{e0100}-\x{e01ef}]"
 P3_FOUND = f"""
 WITH seen AS (
   SELECT arrival, content, regexp_replace(regexp_replace(content, '{_HIDDEN}', '', 'g'), '(^|[^{_PICTURE}{_JOIN}])[{_JOIN}]+', '\\1', 'g') AS shown FROM incoming
@@ -134,5 +134,26 @@ SELECT id_a, id_b FROM met WHERE both_ >= 0.8 * (n - both_) - 1e-9
 """
 
 
+P2_COLLAPSED = P2_FOUND.replace("SELECT least AS id_a, id AS id_b FROM sets WHERE id <> least", "SELECT least AS id, count(*) AS copies FROM sets GROUP BY least")
+
+
+def _forms(key: str, source: str) -> str:
+    """The form of every content of a table, also of those that show nothing."""
+    whole = P3_FOUND[: P3_FOUND.index(" FROM incoming")] + f" FROM {source}\n)" + P3_FOUND[P3_FOUND.index(", formed AS") : P3_FOUND.index("SELECT a.arrival")]
+    return whole.replace("arrival", key) + f"SELECT {key}, form AS canonical FROM formed"
+
+
+P4_GROUPS = f"""WITH RECURSIVE{P4_FOUND.replace("WITH", "", 1).replace("SELECT id_a, id_b FROM met", ", pairs AS (SELECT id_a, id_b FROM met")}),
+edges AS (SELECT id_a AS x, id_b AS y FROM pairs UNION SELECT id_b, id_a FROM pairs),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON e.x = r.y),
+groups_ AS (SELECT x AS id, min(y) AS group_id FROM reach GROUP BY x)
+SELECT id, group_id, last(id) OVER w AS newest_id, count(*) OVER (PARTITION BY group_id) AS members FROM groups_ JOIN rows_ USING (id)
+WINDOW w AS (PARTITION BY group_id ORDER BY t_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_conversations": P5_CONVERSATIONS}
+    return {
+        "p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_collapsed": P2_COLLAPSED, "p3_found": P3_FOUND, "p3_incoming": _forms("arrival", "incoming"),
+        "p3_records": _forms("id", "(SELECT id, any_value(content) AS content FROM mem_records WHERE id IS NOT NULL GROUP BY id)"), "p4_found": P4_FOUND, "p4_groups": P4_GROUPS,
+        "p5_found": P5_FOUND, "p5_conversations": P5_CONVERSATIONS,
+    }
