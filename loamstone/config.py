@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import asdict, dataclass, fields, replace
+from dataclasses import Field, dataclass, field, fields, replace
+
+
+def within(default, least: float = 0, above: float | None = None, most: float | None = None):
+    """A number with its range: at least ``least``, or above ``above``, and at most ``most`` if that is given."""
+    return field(default=default, metadata={"least": least, "above": above, "most": most})
 
 
 @dataclass(frozen=True)
@@ -13,19 +18,19 @@ class EngineConfig:
 
     owner: str = ""
     default_session: str = ""
-    ttl_seconds: int = 604800
-    half_life_days: float = 3.0
+    ttl_seconds: int = within(604800, least=1)
+    half_life_days: float = within(3.0, above=0)
     bm25_min_threshold: float = 0.1
-    search_result_limit: int = 20
-    min_score: float = 0.2
-    vector_min_cos: float = 0.85
-    relative_min_score_ratio: float = 0.6
+    search_result_limit: int = within(20, least=1)
+    min_score: float = within(0.2, most=1)
+    vector_min_cos: float = within(0.85, most=1)
+    relative_min_score_ratio: float = within(0.6, most=1)
     min_results: int = 3
     version_order_enabled: bool = True
-    version_sim_threshold: float = 0.98
+    version_sim_threshold: float = within(0.98, most=1)
     version_min_chars: int = 100
-    search_query_max_chars: int = 2000
-    chunk_threshold: int = 400
+    search_query_max_chars: int = within(2000, least=1)
+    chunk_threshold: int = within(400, least=50)
     chunk_overlap: int = 100
     access_count_enabled: bool = False
     access_count_weight: float = 0.02
@@ -35,11 +40,11 @@ class EngineConfig:
     lexical_rerank_enabled: bool = True
     rerank_weight: float = 0.3
     rerank_phrase_weight: float = 0.2
-    b_session_match: float = 1.0
-    b_session_mismatch: float = 0.6
+    b_session_match: float = within(1.0, most=1)
+    b_session_mismatch: float = within(0.6, most=1)
     skip_code_blocks: bool = False
-    embedding_dim: int = 16
-    context_max_chars: int = 9500
+    embedding_dim: int = within(16, least=1)
+    context_max_chars: int = within(9500, least=2000, most=10000)
     repair_batch: int = 200
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
@@ -50,46 +55,16 @@ class EngineConfig:
         return replace(self, **changes)
 
 
-#: Setting: least value, whether it may be reached, greatest value (None: no bound). Fixed values.
-RANGES = {
-    "ttl_seconds": (1, True, None),
-    "search_result_limit": (1, True, None),
-    "search_query_max_chars": (1, True, None),
-    "embedding_dim": (1, True, None),
-    "chunk_threshold": (50, True, None),
-    "ttl_refresh_top_k": (0, True, None),
-    "version_min_chars": (0, True, None),
-    "min_results": (0, True, None),
-    "half_life_days": (0, False, None),
-    "bm25_min_threshold": (0, True, None),
-    "access_count_weight": (0, True, None),
-    "access_count_max_boost": (0, True, None),
-    "rerank_weight": (0, True, None),
-    "rerank_phrase_weight": (0, True, None),
-    "min_score": (0, True, 1),
-    "vector_min_cos": (0, True, 1),
-    "relative_min_score_ratio": (0, True, 1),
-    "version_sim_threshold": (0, True, 1),
-    "b_session_match": (0, True, 1),
-    "b_session_mismatch": (0, True, 1),
-    "context_max_chars": (2000, True, 10000),
-}
-
-
-def problem_of(name: str, value, default) -> str | None:
-    """Why ``value`` can't be used for a setting, or None."""
-    if isinstance(default, bool):
-        return None if isinstance(value, bool) else "must be true or false"
-    if isinstance(default, str):
-        return None if isinstance(value, str) else "must be a string"
-    if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
-        return "must be a number"
-    if isinstance(default, int) and not isinstance(value, int):
-        return "must be an integer"
-    low, reached, high = RANGES.get(name, (0, True, None))
-    if value < low or (value == low and not reached) or (high is not None and value > high):
-        return "is out of range"
-    return None
+def problem_of(setting: Field, value) -> str | None:
+    """Why ``value`` can't be used for a setting, or None. Numbers without a range of their own are at least 0."""
+    kind = type(setting.default)
+    if kind in (bool, str):
+        return None if isinstance(value, kind) else f"must be {'true or false' if kind is bool else 'a string'}"
+    if type(value) not in ((int,) if kind is int else (int, float)) or not math.isfinite(value):
+        return "must be an integer" if kind is int else "must be a number"
+    limits = setting.metadata or {"least": 0, "above": None, "most": None}
+    low = value > limits["above"] if limits["above"] is not None else value >= limits["least"]
+    return None if low and (limits["most"] is None or value <= limits["most"]) else "is out of range"
 
 
 def from_mapping(values: dict) -> tuple[EngineConfig, list[str]]:
@@ -97,16 +72,10 @@ def from_mapping(values: dict) -> tuple[EngineConfig, list[str]]:
 
     An overlap that is not below the chunk threshold becomes a quarter of it.
     """
-    base, good, notes = EngineConfig(), {}, []
-    defaults = asdict(base)
-    for field in fields(EngineConfig):
-        if field.name in values:
-            why = problem_of(field.name, values[field.name], defaults[field.name])
-            if why:
-                notes.append(f"{field.name} {why}")
-            else:
-                good[field.name] = values[field.name]
-    done = replace(base, **good)
+    named = [setting for setting in fields(EngineConfig) if setting.name in values]
+    why = {setting.name: problem_of(setting, values[setting.name]) for setting in named}
+    notes = [f"{name} {told}" for name, told in why.items() if told]
+    done = replace(EngineConfig(), **{name: values[name] for name, told in why.items() if not told})
     if done.chunk_overlap >= done.chunk_threshold:
         notes.append("chunk_overlap must be below chunk_threshold")
         done = replace(done, chunk_overlap=done.chunk_threshold // 4)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loamstone.config import EngineConfig
 from loamstone.functions import chunk as C
+from loamstone.functions import payload as P
 from loamstone.functions import rank as R
 from loamstone.functions import text as T
 from loamstone.operators import ingest, mutate, scan, search, store, views
@@ -124,6 +125,28 @@ def time_bounds(spark, root):
     return rows.select("id", "form", F.round(since, 3).alias("since"), F.round(until, 3).alias("until"), T.bounds_error(F.col("told"), F.lit("2026-02-01")).alias("error"))
 
 
+def payload_prompts(spark, root):
+    """The calls as payloads of four forms: the prompt of each, and whether a person wrote it."""
+    content = F.col("content")
+    forms = {
+        "object": F.to_json(F.struct(F.col("session_id"), content.alias("prompt"))), "text": F.concat(F.lit("say: "), content), "list": F.lit("[1, 2]"),
+        "system": F.concat(F.lit("  <system-reminder> "), content), "bytes": P.decoded(F.concat(F.unhex(F.lit("EFBBBF")), F.encode(content, "UTF-8"), F.unhex(F.lit("FF")))),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), v.alias("raw")) for k, v in forms.items())))
+    rows = table(spark, root, "incoming", "arrival", "content", "session_id").where("content IS NOT NULL").select("arrival", each.alias("x")).select("arrival", "x.form", "x.raw")
+    prompt = P.prompt_of(F.col("raw"))
+    return rows.select("arrival", "form", F.md5(prompt).alias("prompt"), P.is_system_prompt(prompt).alias("system"))
+
+
+def filled_calls(spark, root):
+    """Sessions and agents of the calls with defaults for blank ones, and what would be embedded."""
+    calls = table(spark, root, "incoming", "arrival", "content", "session_id", "agent_name", "role")
+    session = P.filled(F.col("session_id"), F.lit("default"))
+    agent = P.filled(F.col("agent_name"), F.lit(" "), F.col("role"), F.lit("client "))
+    passage = F.when(T.has_visible(F.col("content")), F.md5(P.embedding_input(T.nfkc(F.col("content")))))  # nothing else is saved
+    return calls.select("arrival", session.alias("session"), agent.alias("agent"), passage.alias("passage"))
+
+
 def text_parts(spark, root):
     """Prompts of typed parts, made from the calls: their text parts by lines."""
     calls = table(spark, root, "incoming", "arrival", "content", "role").where("content IS NOT NULL AND role IS NOT NULL")
@@ -395,7 +418,7 @@ def session_counters(spark, root):
 
 QUERIES = (
     text_purify, visible_filter, importance_clamp, role_prefix, text_guard, text_tokens, text_query_terms, text_ngrams, text_context_size, safe_session,
-    saved_times, time_bounds, text_parts, chunk_counts, query_vectors, ingest_statuses, ingest_without_code, ingest_records, ingest_documents, ingest_counts, dedup_exact,
+    saved_times, time_bounds, text_parts, payload_prompts, filled_calls, chunk_counts, query_vectors, ingest_statuses, ingest_without_code, ingest_records, ingest_documents, ingest_counts, dedup_exact,
     knn_topk, bm25_topk, knn_owner_postfilter, hybrid_fuse, keyword_relevance, fused_score, search_full, search_counts, render_rows, render_blocks, record_neighbours,
     ttl_expired, time_window, ttl_refresh, ttl_refresh_guards, repair_counts, repaired_vectors, list_newest, list_preview, recall_slice, orphan_chunks, guard_lookup,
     delete_cascade, delete_remaining, delete_session_counts, previous_reply, turn_handoff, transcript_replies, session_counters,

@@ -352,6 +352,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, form, round(a, 3) AS since, round(b, 3) AS until, CASE WHEN told IS NULL THEN NULL
               WHEN a IS NULL THEN 'Error: since must be an ISO 8601 date or datetime (got ' || chr(39) || told || chr(39) || ')' WHEN a > 1769990399.999999 THEN 'Error: since is later than until' END AS error
             FROM forms""",
+        "payload_prompts": """WITH c AS (SELECT arrival, content FROM incoming WHERE content IS NOT NULL), p AS (
+              SELECT arrival, 'object' AS form, content AS prompt FROM c UNION ALL SELECT arrival, 'text', 'say: ' || content FROM c UNION ALL SELECT arrival, 'list', '[1, 2]' FROM c
+              UNION ALL SELECT arrival, 'system', '  <system-reminder> ' || content FROM c UNION ALL SELECT arrival, 'bytes', content || chr(65533) FROM c)
+            SELECT arrival, form, md5(prompt) AS prompt, starts_with(ltrim(prompt), '<system-reminder>') AS system FROM p""",
+        "filled_calls": f"""SELECT arrival, CASE WHEN coalesce({strip('session_id')}, '') <> '' THEN session_id ELSE 'default' END AS session,
+            CASE WHEN coalesce({strip('agent_name')}, '') <> '' THEN agent_name WHEN coalesce({strip('role')}, '') <> '' THEN {strip('role')} ELSE 'client' END AS agent,
+            CASE WHEN regexp_matches(content, '[^{INVISIBLE}]') THEN md5('passage: ' || {nfkc('content')}) END AS passage FROM incoming""",
         "text_parts": "SELECT arrival, md5(content || chr(10) || role) AS text, md5(content) AS plain FROM incoming WHERE content IS NOT NULL AND role IS NOT NULL",
         "chunk_counts": f"WITH RECURSIVE {DOC}, {BODIES}, {CHUNKS} SELECT id, count(*) AS pieces, string_agg(a || '-' || b, ' ' ORDER BY k) AS spans FROM merged GROUP BY id",
         "query_vectors": f"WITH {ASKED}, {VECTORS} SELECT query_id, CAST(i AS BIGINT) AS place, round(qvec[i + 1], 6) AS x FROM qvec CROSS JOIN (SELECT unnest(range(16)) AS i)",

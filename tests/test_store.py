@@ -13,6 +13,7 @@ from loamstone.operators import ingest, mutate, render, search, store, views
 from loamstone.operators.components import components
 
 from loamstone.sources import transcripts
+from loamstone.sources.snapshots import Outdated, SnapshotStore
 from loamstone.streaming import ingest as streaming
 
 CFG = EngineConfig(owner="me", embedding_dim=16)
@@ -298,6 +299,29 @@ def test_numbers_and_carried_values_of_a_hot_group(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_versions_of_the_store(spark, tmp_path):
+    _, snap = saved(spark, [call("one"), call("A sentence of the document. " * 30)])
+    held = SnapshotStore(spark, str(tmp_path / "versions"))
+    empty, number = held.read()
+    assert number == 0 and empty.records.count() == empty.guards.count() == 0
+    assert held.commit(snap, 0, CFG) == 1
+    first, number = held.read()
+    assert number == 1 and first.records.count() == snap.records.count() and first.documents.first()["chunk_ids"] == snap.documents.first()["chunk_ids"]
+    second = mutate.delete(first, first.records.select("id"), CFG)[0]
+    assert held.commit(second, 1) == 2
+    with pytest.raises(Outdated):
+        held.commit(first, 1)
+    with pytest.raises(ValueError):
+        held.commit(first, 2, CFG.with_(embedding_dim=8))
+    folders = [p.name for p in (tmp_path / "versions").iterdir() if p.name.startswith("version-")]
+    assert held.versions() == [1, 2] and len(folders) == 2
+    assert held.read(1)[0].records.count() == snap.records.count() and held.read()[0].records.where("parent_id = ''").count() == 0
+    fewer = mutate.Snapshot(first.records.drop("agent_name"), first.documents, first.guards)
+    assert held.commit(fewer, 2) == 3 and held.read()[0].records.where("agent_name IS NULL").count() == snap.records.count()
+    held.clean(1)
+    assert held.versions() == [3] and held.read()[0].guards.count() == snap.guards.count()
+
+
 def test_intermediates_are_removed(spark):
     import os
 
