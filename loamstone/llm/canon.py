@@ -3,10 +3,10 @@
 The quick check is the one of composed normalization, taken from the character data: a character is
 unstable if its Quick_Check property is No (it is never part of composed text), if it is Maybe (it may
 compose with the one before), if it has a combining class or is a mark, or if it has a look of another
-character's. A text without unstable characters is returned as it is. Otherwise each maximal run of
-unstable characters is isolated with the stable character before it as boundary context: composition
-never crosses a stable character. Only these segments are normalized, and they are spliced into the
-unchanged text.
+character's. A text without unstable characters is returned as it is. Otherwise unstable characters,
+those close to each other together, are isolated with the stable character before them as boundary
+context: composition never crosses a stable character. Only these segments are normalized, and they
+are spliced into the unchanged text.
 
 The form: full- and half-width forms become ordinary ones, accents are composed, look-alike letters
 become Latin, kinds of space of one place become one space, invisible characters go (joiners and
@@ -32,6 +32,7 @@ from loamstone.llm.lookalikes import LOOKALIKES
 from loamstone.scale import materialize, salt_of
 
 BLOCK = 4096
+GAP = 12  # stable characters that a segment may hold between two unstable ones
 _JOINERS = "\u200d\ufe0e\ufe0f"
 #: Characters that show nothing though their category doesn't say so: fillers and grapheme joiner.
 _BLANK = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0"
@@ -124,17 +125,16 @@ def _class(codes) -> str:
     return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in spans)
 
 
-def _run_with_context(of: str) -> re.Pattern:
-    return re.compile(f"[^{of}]?[{of}]+")
-
-
 @lru_cache(maxsize=1)
 def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     """One unstable character; a segment (unstable ones with the stable one before); contextual ones with the one before."""
-    assigned = [*range(0x33480), *range(0xE0000, 0xE0200)]
-    unstable = _class(code for code in assigned if _is_unstable(code))
-    contextual = _class(code for code in assigned if not 0xD800 <= code <= 0xDFFF and _is_contextual(code))
-    return re.compile(f"[{unstable}]"), _run_with_context(unstable), _run_with_context(contextual)
+    # Characters beyond the basic plane are few and looked at in any case: the classes stay small tables.
+    plane = range(0x10000)
+    unstable = _class(code for code in plane if _is_unstable(code)) + "\U00010000-\U0010ffff"
+    contextual = _class(code for code in plane if not 0xD800 <= code <= 0xDFFF and _is_contextual(code)) + "\U00010000-\U0010ffff"
+    # Unstable characters that lie close together share a segment: one normalization for them and what is between.
+    segment = re.compile(f"[^{unstable}]?[{unstable}](?:[^{unstable}]{{0,{GAP}}}[{unstable}])*")
+    return re.compile(f"[{unstable}]"), segment, re.compile(f"[^{contextual}]?[{contextual}]+")
 
 
 def _canonical(match: re.Match) -> str:
