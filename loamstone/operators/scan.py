@@ -31,6 +31,8 @@ from loamstone.scale import materialize, salt_of
 
 BLOCK = 2048
 ROWS = 1024
+CELLS = 1 << 18
+TINY = 1e-300  # every term of a search adds more than that
 SALTS = 64
 
 
@@ -46,24 +48,59 @@ def blocks_of(searches: DataFrame, columns: list[str], size: int = BLOCK) -> Ite
         yield block
 
 
+class _Seen:
+    """Which rows a search sees: live at its time, and within its range of times if it has one."""
+
+    def __init__(self, pdf: pd.DataFrame, since: np.ndarray, until: np.ndarray, now: np.ndarray):
+        self.at, self.expires = (pdf[name].to_numpy(dtype=float) for name in ("timestamp_epoch", "expires_at"))
+        self.since, self.until, self.now = since, until, now
+        self.open = ~(np.isfinite(since) | np.isfinite(until))
+
+    def _told(self, at, expires, since, until, now, open_) -> np.ndarray:
+        return (np.isnan(expires) | (expires > now)) & (open_ | ((at >= since) & (at <= until)))
+
+    def cells(self, row: np.ndarray, search: np.ndarray) -> np.ndarray:
+        return self._told(self.at[row], self.expires[row], self.since[search], self.until[search], self.now[search], self.open[search])
+
+    def matrix(self) -> np.ndarray:
+        return self._told(self.at[:, None], self.expires[:, None], self.since, self.until, self.now, self.open)
+
+
 class _Best:
     """The best k rows of each search seen so far, each id once."""
 
     def __init__(self, k: np.ndarray):
         self.k, self.least = k, np.full(len(k), -np.inf)
         self.search, self.score, self.name = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=object)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, scores: np.ndarray, names: np.ndarray, seen: _Seen, floor: float) -> None:
+        """Take in the rows of a matrix rows x searches that are seen and score at least ``floor``.
 
-    def add(self, scores: np.ndarray, names: np.ndarray) -> None:
-        rows, most = len(scores), int(self.k.max(initial=1)) + int(pd.Series(names).duplicated().sum())
-        least = np.maximum(self.least, -1e300)
-        if rows > most:  # a row below a search's k-th best of these has no place
-            least = np.maximum(least, np.partition(scores, rows - most, axis=0)[rows - most])
+        Once the searches have k rows each, few cells reach their least one: only those are looked at
+        further. While many do, the k-th best of these rows bounds each search first.
+        """
+        least = np.maximum(self.least - 1e-9, floor)  # scores are rounded below
         row, search = np.nonzero(scores >= least[None, :])
+        if len(row) > CELLS:
+            scores = np.where(seen.matrix(), scores, -np.inf)
+            rows, most = len(scores), int(self.k.max(initial=1)) + int(pd.Series(names).duplicated().sum())
+            if rows > most:  # a row below a search's k-th best of these has no place
+                least = np.maximum(least, np.partition(scores, rows - most, axis=0)[rows - most] - 1e-9)
+            row, search = np.nonzero(scores >= least[None, :])
+        else:
+            inside = seen.cells(row, search)
+            row, search = row[inside], search[inside]
         if not len(row):
             return
-        search = np.concatenate((self.search, search))
-        score = np.concatenate((self.score, scores[row, search[len(self.search) :]]))
-        name = np.concatenate((self.name, names[row]))
+        self.waiting.append((search, np.round(scores[row, search], 9), names[row]))
+        if sum(len(x) for x, _, _ in self.waiting) > max(CELLS, len(self.search)):
+            self.settle()
+
+    def settle(self) -> None:
+        """Keep the k best of the rows held and waiting; of equal scores, the smaller id."""
+        search, score, name = (np.concatenate(x) for x in zip((self.search, self.score, self.name), *self.waiting))
+        self.waiting = []
         order = np.lexsort((name.astype(str), -score, search))
         search, score, name = search[order], score[order], name[order]
         new = np.ones(len(search), dtype=bool)
@@ -78,15 +115,7 @@ class _Best:
         self.least = np.where(full & (last >= 0), self.score[np.maximum(last, 0)] if len(self.score) else -np.inf, -np.inf)
 
 
-def _visible(pdf: pd.DataFrame, since: np.ndarray, until: np.ndarray, now: np.ndarray) -> np.ndarray:
-    at = pdf["timestamp_epoch"].to_numpy(dtype=float)[:, None]
-    expires = pdf["expires_at"].to_numpy(dtype=float)[:, None]
-    ranged = np.isfinite(since) | np.isfinite(until)
-    inside = (at >= since) & (at <= until)
-    return (np.isnan(expires) | (expires > now)) & (inside | ~ranged[None, :])
-
-
-def _search_block(records: DataFrame, block: list[dict], scorer: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+def _search_block(records: DataFrame, block: list[dict], scorer: Callable[[pd.DataFrame], np.ndarray], floor: float) -> DataFrame:
     names = np.array([q["query_id"] for q in block], dtype=object)
     k = np.array([q["k"] for q in block], dtype=np.int64)
     number = lambda key, default: np.array([default if q[key] is None else q[key] for q in block], dtype=float)
@@ -97,9 +126,8 @@ def _search_block(records: DataFrame, block: list[dict], scorer: Callable[[pd.Da
         for pdf in batches:
             for start in range(0, len(pdf), ROWS):
                 part = pdf.iloc[start : start + ROWS]
-                scores = np.round(scorer(part), 9)
-                scores[~_visible(part, since, until, now)] = -np.inf
-                best.add(scores, part["id"].to_numpy(dtype=object))
+                best.add(scorer(part), part["id"].to_numpy(dtype=object), _Seen(part, since, until, now), floor)
+        best.settle()
         yield pd.DataFrame({"query_id": names[best.search], "id": best.name, "score": best.score, "k": k[best.search].astype(np.int32)})
 
     return records.mapInPandas(scan, "query_id string, id string, score double, k int")
@@ -139,7 +167,7 @@ def knn(records: DataFrame, searches: DataFrame) -> DataFrame:
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             return (vectors / np.maximum(norms, 1e-300)) @ wanted.T
 
-        parts.append(_search_block(held, block, scorer))
+        parts.append(_search_block(held, block, scorer, -1e300))
     return _ranked(parts) if parts else records.sparkSession.createDataFrame([], EMPTY)
 
 
@@ -227,8 +255,7 @@ def bm25(records: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFram
             many = starts[term + 1] - starts[term]
             at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)
             cell = np.repeat(row, many) * width + asking[at]
-            scores = np.bincount(cell, weights=np.repeat(weight, many), minlength=len(pdf) * width).reshape(len(pdf), width)
-            return np.where(scores > 0, scores, -np.inf)
+            return np.bincount(cell, weights=np.repeat(weight, many), minlength=len(pdf) * width).reshape(len(pdf), width)
 
-        parts.append(_search_block(held.where(F.size("terms") > 0), block, scorer))
+        parts.append(_search_block(held.where(F.size("terms") > 0), block, scorer, TINY))
     return _ranked(parts) if parts else spark.createDataFrame([], EMPTY)
