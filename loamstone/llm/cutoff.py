@@ -43,6 +43,7 @@ class CutRules:
     cuts: int = 3
     bits: int = 18
     rounds: int = 700
+    fold_rounds: int = 110
     step: float = 0.35
     l2: float = 2e-6
     prior: float = 0.03
@@ -269,19 +270,29 @@ def with_limits(docs: DataFrame, limits: DataFrame) -> DataFrame:
 
 def fit(index: list[np.ndarray], label: np.ndarray, rules: CutRules, weight: np.ndarray | None = None, rounds: int | None = None) -> np.ndarray:
     """Logistic regression on binary hashed features, by full-batch AdaGrad."""
-    size = 1 << rules.bits
-    flat = np.concatenate(index) if index else np.zeros(0, dtype=np.int32)
-    row = np.repeat(np.arange(len(index)), [len(x) for x in index])
+    out = np.zeros(1 << rules.bits)
     weight = np.ones(len(index)) if weight is None else weight
-    w, square = np.zeros(size), np.full(size, 1e-8)
+    used = np.flatnonzero(weight)
+    if not len(used):
+        return out
+    held, label, weight = [index[i] for i in used], label[used], weight[used]
+    lengths = np.array([len(x) for x in held])
+    first = np.cumsum(lengths) - lengths
+    # Features are numbered as they occur, and each example's and each feature's entries lie together.
+    names, column = np.unique(np.concatenate(held), return_inverse=True)
+    by_feature = np.argsort(column, kind="stable")
+    rows = np.repeat(np.arange(len(held)), lengths)[by_feature]
+    starts = np.searchsorted(column[by_feature], np.arange(len(names)))
+    w, square = np.zeros(len(names)), np.full(len(names), 1e-8)
     total = max(1.0, weight.sum())
     for _ in range(rounds or rules.rounds):
-        z = np.bincount(row, weights=w[flat], minlength=len(index))
+        z = np.add.reduceat(w[column], first)
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight
-        gradient = np.bincount(flat, weights=error[row], minlength=size) / total + rules.l2 * w
+        gradient = np.add.reduceat(error[rows], starts) / total + rules.l2 * w
         square += gradient * gradient
         w -= rules.step * gradient / np.sqrt(square)
-    return w
+    out[names] = w
+    return out
 
 
 def train(docs: DataFrame, key: str, limits: DataFrame, rules: CutRules) -> np.ndarray:
@@ -368,7 +379,7 @@ def train(docs: DataFrame, key: str, limits: DataFrame, rules: CutRules) -> np.n
     fold = got["fold"].to_numpy()
     keep = np.ones(len(label), dtype=bool)
     for k in range(rules.folds):
-        w = fit(index, label, rules, balanced(fold != k), rules.rounds // 2)
+        w = fit(index, label, rules, balanced(fold != k), rules.fold_rounds)
         for i in np.flatnonzero((fold == k) & (label == 0)):
             keep[i] = w[index[i]].sum() <= rules.doubt
     whole = [np.concatenate((x, np.frombuffer(y, dtype=np.int32))) for x, y in zip(index, got["limit_index"])]
