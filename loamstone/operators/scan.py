@@ -32,6 +32,7 @@ from loamstone.scale import materialize, salt_of
 BLOCK = 2048
 ROWS = 1024
 CELLS = 1 << 18
+TERMS = 200_000
 TINY = 1e-300  # every term of a search adds more than that
 SALTS = 64
 
@@ -48,6 +49,21 @@ def blocks_of(searches: DataFrame, columns: list[str], size: int = BLOCK) -> Ite
         yield block
 
 
+def groups_of(blocks: Iterator[list[dict]], most_terms: int) -> Iterator[tuple[list[list[dict]], list[str]]]:
+    """Blocks of searches together with their terms, as long as those stay below ``most_terms``; a block is never divided."""
+    held: list[list[dict]] = []
+    terms: set[str] = set()
+    for block in blocks:
+        own = {t for q in block for t in q["terms"]}
+        if held and len(terms | own) > most_terms:
+            yield held, sorted(terms)
+            held, terms = [], set()
+        held.append(block)
+        terms |= own
+    if held:
+        yield held, sorted(terms)
+
+
 class _Seen:
     """Which rows a search sees: live at its time, and within its range of times if it has one."""
 
@@ -220,42 +236,48 @@ def bm25(records: DataFrame, searches: DataFrame, cfg: EngineConfig) -> DataFram
     query_id, terms, k, since_epoch, until_epoch, now_epoch. Frequencies and mean lengths are taken
     over all records, before any filter of a search.
 
-    For each block of searches the texts are tokenized once: what is kept of a record are its lengths
-    and the terms that the block asks for. A block's terms come from at most ``BLOCK`` searches of
-    ``search_query_max_chars`` characters, which bounds what every task holds of them.
+    Texts are tokenized once for as many blocks of searches as ask for at most ``TERMS`` terms together,
+    or for one block: what is kept of a record are its lengths and those terms. A block's terms come from
+    at most ``BLOCK`` searches of ``search_query_max_chars`` characters, so what a task holds is bounded.
     """
     spark = records.sparkSession
     parts = []
-    for block in blocks_of(searches.where(F.size("terms") > 0), ["query_id", "terms", "k", "since_epoch", "until_epoch", "now_epoch"]):
-        vocabulary = sorted({t for q in block for t in q["terms"]})
+    blocks = blocks_of(searches.where(F.size("terms") > 0), ["query_id", "terms", "k", "since_epoch", "until_epoch", "now_epoch"])
+    for group, vocabulary in groups_of(blocks, TERMS):
         number = {t: i for i, t in enumerate(vocabulary)}
-        pairs = np.array(sorted({(number[t], j) for j, q in enumerate(block) for t in q["terms"]}), dtype=np.int64)
-        starts = np.searchsorted(pairs[:, 0], np.arange(len(vocabulary) + 1))
-        asking = pairs[:, 1]  # the searches of each term, from starts[term] on
         held = materialize(postings(records, vocabulary), "postings")
         total, *means = held.agg(F.count("*"), F.avg("long_0"), F.avg("long_1")).first()
         each = held.select(F.explode(F.arrays_zip("terms", "often_0", "often_1")).alias("x")).groupBy(F.col("x.terms").alias("term"))
-        found = each.agg(F.count_if(F.col("x.often_0") > 0).alias("df_0"), F.count_if(F.col("x.often_1") > 0).alias("df_1")).collect()  # the block's terms
+        found = each.agg(F.count_if(F.col("x.often_0") > 0).alias("df_0"), F.count_if(F.col("x.often_1") > 0).alias("df_1")).collect()  # the group's terms
         idf = np.zeros((2, len(vocabulary)))
         for row in found:
             for k in (0, 1):
                 idf[k, row["term"]] = np.log(1 + (total - row[f"df_{k}"] + 0.5) / (row[f"df_{k}"] + 0.5))
-        shared = spark.sparkContext.broadcast((starts, asking, idf))
         scales = [(weight, float(mean or 0.0)) for weight, mean in zip((cfg.content_weight, cfg.ngram_weight), means)]
-
-        def scorer(pdf: pd.DataFrame, shared=shared, scales=scales, width=len(block)) -> np.ndarray:
-            starts, asking, idf = shared.value
-            lists = pdf["terms"]
-            row, term = np.repeat(np.arange(len(pdf)), lists.map(len).to_numpy(dtype=np.int64)), _flat(lists)
-            weight = np.zeros(len(term))
-            for k, (share, mean) in enumerate(scales):
-                often = _flat(pdf[f"often_{k}"]).astype(float)
-                scale = cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * pdf[f"long_{k}"].to_numpy(dtype=float)[row] / max(mean, 1e-300))
-                weight += share * idf[k, term] * often * (cfg.bm25_k1 + 1) / (often + scale)
-            many = starts[term + 1] - starts[term]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)
-            cell = np.repeat(row, many) * width + asking[at]
-            return np.bincount(cell, weights=np.repeat(weight, many), minlength=len(pdf) * width).reshape(len(pdf), width)
-
-        parts.append(_search_block(held.where(F.size("terms") > 0), block, scorer, TINY))
+        matching = held.where(F.size("terms") > 0)
+        parts += [_search_block(matching, block, _bm25_scorer(spark, block, number, idf, scales, cfg), TINY) for block in group]
     return _ranked(parts) if parts else spark.createDataFrame([], EMPTY)
+
+
+def _bm25_scorer(spark, block: list[dict], number: dict[str, int], idf: np.ndarray, scales: list[tuple[float, float]], cfg: EngineConfig):
+    """Scores of rows of ``postings`` for a block of searches: 0 where a row has none of a search's terms."""
+    pairs = np.array(sorted({(number[t], j) for j, q in enumerate(block) for t in q["terms"]}), dtype=np.int64)
+    starts = np.searchsorted(pairs[:, 0], np.arange(len(number) + 1))
+    shared = spark.sparkContext.broadcast((starts, pairs[:, 1], idf))  # the searches of each term, from starts[term] on
+    width = len(block)
+
+    def scorer(pdf: pd.DataFrame) -> np.ndarray:
+        starts, asking, idf = shared.value
+        lists = pdf["terms"]
+        row, term = np.repeat(np.arange(len(pdf)), lists.map(len).to_numpy(dtype=np.int64)), _flat(lists)
+        weight = np.zeros(len(term))
+        for k, (share, mean) in enumerate(scales):
+            often = _flat(pdf[f"often_{k}"]).astype(float)
+            scale = cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * pdf[f"long_{k}"].to_numpy(dtype=float)[row] / max(mean, 1e-300))
+            weight += share * idf[k, term] * often * (cfg.bm25_k1 + 1) / (often + scale)
+        many = starts[term + 1] - starts[term]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts[term], many)
+        cell = np.repeat(row, many) * width + asking[at]
+        return np.bincount(cell, weights=np.repeat(weight, many), minlength=len(pdf) * width).reshape(len(pdf), width)
+
+    return scorer

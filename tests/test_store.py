@@ -91,6 +91,21 @@ def test_search(spark):
     assert nothing.count() == 0 and search.search(stored, docs, queries.limit(0), cfg).count() == 0
 
 
+def test_blocks_of_searches_give_what_one_gives(spark, data, monkeypatch):
+    """Many small blocks, with and without terms in common, against one block."""
+    from loamstone.operators import scan
+    from loamstone.plans import catalogue
+
+    stored, queries = catalogue.lying(spark, data), catalogue.asked(spark, data).persist()
+    whole = [{tuple(r) for r in leg.collect()} for leg in search.legs(stored, queries, catalogue.CFG)]
+    small = scan.blocks_of
+    monkeypatch.setattr(scan, "blocks_of", lambda searches, columns: small(searches, columns, 2))
+    monkeypatch.setattr(scan, "TERMS", 20)
+    assert [{tuple(r) for r in leg.collect()} for leg in search.legs(stored, queries, catalogue.CFG)] == whole
+    groups = list(scan.groups_of(iter([[{"terms": ["a", "b"]}], [{"terms": ["b"]}], [{"terms": ["c"]}], [{"terms": list("defg")}]]), 2))
+    assert [(len(blocks), terms) for blocks, terms in groups] == [(2, ["a", "b"]), (1, ["c"]), (1, list("defg"))]
+
+
 def test_versions_take_the_better_places(spark):
     schema = "query_id string, pos int, id string, is_doc boolean, chunk_ids array<string>, score double, filter_score double, timestamp_epoch double"
     kept = spark.createDataFrame([("q", 1, "a", False, None, 0.9, 0.9, 1.0), ("q", 2, "x", False, None, 0.8, 0.8, 9.0), ("q", 3, "b", False, None, 0.7, 0.7, 3.0), ("q", 4, "c", False, None, 0.6, 0.6, 2.0)], schema)
